@@ -108,10 +108,10 @@ def cover(grow: list, prune: list, cuts: dict[str, list[float]], precision: floa
     def tally(rows) -> tuple[int, int]:
         return sum(n for _, bad, n in rows if bad), sum(n for _, bad, n in rows if not bad)
 
-    def best_term(rows, p0: int, n0: int, pure: bool):
-        """By FOIL gain, or by Laplace precision where a list grown by gain isn't precise enough."""
-        before, best = math.log2(p0 / (p0 + n0)), ((p0 + 1) / (p0 + n0 + 2) if pure else 1e-9, None)
-        for k, f in enumerate(FEATURES):
+    def best_term(rows, p0: int, n0: int, among):
+        before, best = math.log2(p0 / (p0 + n0)), (1e-9, None)
+        for k in among:
+            f = FEATURES[k]
             size = len(cuts[f]) + 1
             bad, good = [0] * size, [0] * size
             for v, is_bad, n in rows:
@@ -120,7 +120,7 @@ def cover(grow: list, prune: list, cuts: dict[str, list[float]], precision: floa
             for b in range(size - 1):
                 p, q = p + bad[b], q + good[b]
                 for op, x, y in (("<=", p, q), (">", p0 - p, n0 - q)):
-                    if x and (gain := (x + 1) / (x + y + 2) if pure else x * (math.log2(x / (x + y)) - before)) > best[0]:
+                    if x and (gain := x * (math.log2(x / (x + y)) - before)) > best[0]:
                         best = (gain, (k, op, b))
         return best[1]
 
@@ -129,11 +129,12 @@ def cover(grow: list, prune: list, cuts: dict[str, list[float]], precision: floa
         q, m = tally([r for r in prune if all(holds(r[0], t) for t in ts)])
         return min((p + 1) / (p + n + 2), (q + 0.5) / (q + m + 0.5)) if p >= 3 else 0.0
 
-    def grown(pure: bool) -> list:
+    def grown(first: int) -> list:
+        """A rule whose first condition is on FEATURES[first]."""
         rows, terms = grow, []
         while len(terms) < max_terms:
             p, n = tally(rows)
-            if not p or not n or not (t := best_term(rows, p, n, pure)):
+            if not p or not n or not (t := best_term(rows, p, n, range(len(FEATURES)) if terms else [first])):
                 break
             terms.append(t)
             rows = [r for r in rows if holds(r[0], t)]
@@ -143,9 +144,11 @@ def cover(grow: list, prune: list, cuts: dict[str, list[float]], precision: floa
 
     rules: list[Rule] = []
     while len(rules) < max_rules:
-        terms = max((grown(False), grown(True)), key=lambda ts: value(ts) if ts else -1.0)
-        if not terms or value(terms) < precision:
+        # of the precise rules, one from each first feature, the one that covers most
+        able = [ts for k in range(len(FEATURES)) if (ts := grown(k)) and value(ts) >= precision]
+        if not able:
             break
+        terms = max(able, key=lambda ts: (tally([r for r in grow + prune if all(holds(r[0], t) for t in ts)])[0], -len(ts)))
         rules.append([(FEATURES[k], op, cuts[FEATURES[k]][b]) for k, op, b in terms])
         grow = [r for r in grow if not all(holds(r[0], t) for t in terms)]
         prune = [r for r in prune if not all(holds(r[0], t) for t in terms)]
