@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ascii_lower, codes_of, is_space, map_chunks, materialize, mix, runs, span_hashes
+from keelson.llm.common import CHUNK, ascii_lower, codes_of, is_space, map_chunks, materialize, mix, runs, span_hashes
 from keelson.llm.graph import components
 
 REGISTERS, ROWS, MANTISSA = 96, 3, 10
 SMALL = 8
-BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 4096
+BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 2048
 _rng = np.random.default_rng(20240601)
 FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 MASKS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(3)
@@ -37,6 +37,9 @@ MASKS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(3)
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct n-word shingles (all words as one if there are fewer)."""
+    if len(texts) > 1 and sum(len(t or "") for t in texts) > CHUNK:  # in parts, as arrays of code points are many times a text
+        half = len(texts) // 2
+        return shingle_sets(texts[:half], n) + shingle_sets(texts[half:], n)
     codes, offsets = codes_of(texts)
     if not len(codes):
         return [np.zeros(0, np.uint64)] * len(texts)
