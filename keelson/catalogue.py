@@ -1,4 +1,698 @@
-"""The registered queries of the library and their oracle SQL."""
+"""The registered queries of the library and their oracle SQL.
 
-QUERIES = {}
-ORACLES = {}
+Each entry runs over whole tables. Sources and sinks make a round trip through the shared folder. Doubles are rounded on
+both sides, as sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.functions import strings as S
+from keelson.functions import vectors as V
+from keelson.operators import cluster, graph, messaging, ml, text
+from keelson.operators.collection import Collection, Registry, arg_max, top_k
+from keelson.operators.reduce import Aggregates, RunningAggregate, monoid
+from keelson.plans.lineage import fresh_path
+from keelson.sources import files, sinks
+from keelson.streaming import counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(rows: DataFrame, name: str, line_sep: str | None = None, one_file: bool = False) -> str:
+    """The rows' only column as text files in the shared folder."""
+    path = fresh_path(rows.sparkSession, name)
+    rows = rows.coalesce(1) if one_file else rows
+    writer = rows.write.option("lineSep", line_sep) if line_sep else rows.write
+    writer.text(path)
+    return path
+
+
+# --- words and top-k --------------------------------------------------------------------------------
+
+WORDS = r"words AS (SELECT unnest(list_filter(string_split_regex(text, '[ \t]+'), lambda x: x <> '')) AS word FROM documents), counts AS (SELECT word, count(*) AS cnt FROM words GROUP BY word)"
+
+
+@query(f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word DESC LIMIT 10")
+def wordcount_top10(spark, sf):
+    return top_k(text.word_count(t(spark, sf, "documents")), "cnt", "word", 10)
+
+
+@query(f"WITH {WORDS} SELECT word, cnt FROM counts")
+def agg12_word_count(spark, sf):
+    return text.word_count(t(spark, sf, "documents"))
+
+
+@query("SELECT l_suppkey, n FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, l_suppkey DESC LIMIT 10")
+def srt2_top_k(spark, sf):
+    return top_k(t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")), "n", "l_suppkey", 10)
+
+
+@query(f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word DESC LIMIT 1")
+def srt3_arg_max(spark, sf):
+    return arg_max(text.word_count(t(spark, sf, "documents")), "word", "cnt")
+
+
+@query(f"WITH {WORDS} SELECT count(*)::BIGINT AS n_words, sum(cnt)::BIGINT AS total, round(avg(cnt), 6) AS mean, arg_max(word, (cnt, word)) AS top_word, max(cnt)::BIGINT AS top_count FROM counts")
+def g10_word_statistics(spark, sf):
+    return text.word_statistics(t(spark, sf, "documents")).withColumn("mean", F.round("mean", 6))
+
+
+@query(r"""WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n.,()''":;!?<>]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT id, len(w) AS total, unnest(w) AS term FROM d), f AS (SELECT id, term, count(*) / max(total) AS tf FROM e GROUP BY 1, 2), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+SELECT id, term, round(tf * ln((SELECT count(DISTINCT doc_id) FROM documents) / df), 6) AS tf_idf FROM f JOIN g USING (term)""")
+def g6_tf_idf(spark, sf):
+    return text.tf_idf(t(spark, sf, "documents"), "doc_id", "text").withColumn("tf_idf", F.round("tf_idf", 6))
+
+
+# --- sources and sinks ------------------------------------------------------------------------------
+
+
+@query("SELECT c_name AS value FROM customer WHERE c_name <> ''")
+def src1_lines(spark, sf):
+    return files.read_lines(spark, scratch(t(spark, sf, "customer").select("c_name"), "lines"))
+
+
+@query(r"WITH s AS (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS x FROM nation) SELECT i::BIGINT AS index, substr(x, (i * 7 + 1)::BIGINT, 7) AS value FROM s, range(0, 1000) r(i) WHERE i * 7 < length(x)")
+def src2_chunks(spark, sf):
+    path = scratch(t(spark, sf, "nation").orderBy("n_nationkey").select("n_name"), "chunks", one_file=True)
+    got = files.read_chunks(spark, path, 7).where(~F.col("path").rlike("_SUCCESS|\\.crc$"))
+    return got.select("index", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT p_name AS value FROM part WHERE p_name <> ''")
+def src3_separated(spark, sf):
+    return files.read_separated(spark, scratch(t(spark, sf, "part").select("p_name"), "separated", "=#="), "=#=")
+
+
+@query(r"SELECT page_id, unnest(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)) AS value FROM pages")
+def src4_between(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.explode(files.between(F.col("html"), "<title>", "</title>")).alias("value"))
+
+
+@query("SELECT count(DISTINCT n_regionkey)::BIGINT AS n_files, sum(length(n_name) + 1)::BIGINT AS n_bytes FROM nation WHERE n_regionkey < 3")
+def src5_binary_files(spark, sf):
+    path = fresh_path(spark, "binary")
+    t(spark, sf, "nation").select("n_name", "n_regionkey").coalesce(1).write.partitionBy("n_regionkey").text(path)
+    return files.read_binary_files(spark, path, r"n_regionkey=[0-2]/.*\.txt").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM orders")
+def src6_block_scan(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events")
+def src9_json_documents(spark, sf):
+    path = fresh_path(spark, "json")
+    sinks.write_json_documents(t(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), path)
+    return files.read_json_documents(spark, path, "event_id long, user_id long, event_type string, value double").withColumn("value", F.round("value", 4))
+
+
+@query("SELECT round(l_quantity, 4) AS label, 0 AS fea, round(l_discount, 4) AS val, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL UNION ALL SELECT round(l_quantity, 4), 2, round(l_tax, 4), count(*) FROM lineitem GROUP BY ALL")
+def src12_libsvm(spark, sf):
+    line = F.concat_ws(" ", F.col("l_quantity").cast("string"), F.concat(F.lit("1:"), F.col("l_discount").cast("string")), F.concat(F.lit("3:"), F.col("l_tax").cast("string")))
+    rows, _ = files.read_libsvm(spark, scratch(t(spark, sf, "lineitem").select(line), "libsvm"), 3)
+    one = rows.select(F.round("label", 4).alias("label"), F.explode("features").alias("f")).select("label", "f.fea", F.round("f.val", 4).alias("val"))
+    return one.groupBy("label", "fea", "val").agg(F.count("*").alias("n"))
+
+
+
+@query("SELECT s_suppkey::DOUBLE AS label, s_nationkey::DOUBLE AS x0, round(s_acctbal, 2) AS x1 FROM supplier")
+def src13_tsv(spark, sf):
+    line = F.concat_ws("\t", F.col("s_nationkey").cast("string"), F.col("s_acctbal").cast("string"), F.col("s_suppkey").cast("string"))
+    rows = files.read_tsv(spark, scratch(t(spark, sf, "supplier").select(line), "tsv"))
+    return rows.select("label", F.col("features")[0].alias("x0"), F.round(F.col("features")[1], 2).alias("x1"))
+
+
+@query("SELECT n_regionkey::BIGINT AS src, n_nationkey::BIGINT AS dst FROM nation")
+def src14_adjacency(spark, sf):
+    per = t(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("d"))
+    line = F.concat_ws(" ", F.col("n_regionkey").cast("string"), F.size("d").cast("string"), F.array_join(F.col("d").cast("array<string>"), " "))
+    return files.edges_of(files.parse_adjacency(files.read_lines(spark, scratch(per.select(line), "adjacency")), " \t,:;-"))
+
+
+@query("SELECT s_nationkey AS label, i::INTEGER AS fea, round(p / 255.0, 6) AS val, count(*)::BIGINT AS n FROM (SELECT s_nationkey, unnest([0, 1, 2]) AS i, unnest([s_suppkey % 256, 0, s_suppkey % 7]) AS p FROM supplier) WHERE p <> 0 GROUP BY ALL")
+def src15_images(spark, sf):
+    line = F.concat_ws(",", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 256).cast("string"), F.lit("0"), (F.col("s_suppkey") % 7).cast("string"))
+    rows = files.parse_images(t(spark, sf, "supplier").select(line.alias("value")))
+    return rows.select("label", F.explode("features").alias("f")).groupBy("label", "f.fea", F.round("f.val", 6).alias("val")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT conv_id, unnest(list_filter(string_split_regex(text, '[ \t]+'), lambda x: x <> '')) AS value FROM conversations WHERE role = 'user'")
+def src16_load(spark, sf):
+    rows = t(spark, sf, "conversations").where("role = 'user'")
+    return rows.select("conv_id", F.explode(S.tokens(F.col("text"))).alias("value"))
+
+
+@query("SELECT r_name AS value, 2::BIGINT AS n FROM region")
+def snk1_append_text(spark, sf):
+    path = fresh_path(spark, "append")
+    for _ in range(2):
+        sinks.append_text(t(spark, sf, "region").select("r_name"), path)
+    return files.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def snk2_json_documents(spark, sf):
+    path = fresh_path(spark, "documents")
+    sinks.write_json_documents(t(spark, sf, "region"), path)
+    return files.read_json_documents(spark, path, "r_regionkey int, r_name string")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
+def snk3_collection_store(spark, sf):
+    path = fresh_path(spark, "collection")
+    Collection(t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey").delete_where(F.col("o_orderstatus") == "F").write(path)
+    return Collection.read(spark, path, "o_orderkey").rows.select("o_orderkey", "o_custkey")
+
+
+# --- collections ------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 1000")
+def prj1_execute(spark, sf):
+    return t(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"))
+
+
+@query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def prj2_execute_channels(spark, sf):
+    sent = t(spark, sf, "orders").select(F.col("o_custkey").alias("dst"), F.lit(1).alias("n"))
+    got = messaging.deliver(t(spark, sf, "customer").select("c_custkey"), "c_custkey", messaging.combine(sent, "dst", {"n": "sum"}), "dst", {"n": 0}, upsert=False)
+    return got.select("c_custkey", "n")
+
+
+@query("SELECT 1::BIGINT AS before, 0::BIGINT AS after")
+def prj3_registry(spark, sf):
+    r = Registry()
+    r.create(Collection(t(spark, sf, "region"), "r_regionkey"), "regions")
+    before = r.size()
+    r.drop("regions")
+    return spark.range(1).select(F.lit(before).cast("long").alias("before"), F.lit(r.size()).cast("long").alias("after"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def prj4_add(spark, sf):
+    n = t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return Collection(n, "n_nationkey").add(n.where("n_regionkey = 1")).rows.drop("n_regionkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def prj5_delete(spark, sf):
+    return Collection(t(spark, sf, "customer").select("c_custkey"), "c_custkey").delete(t(spark, sf, "orders").select("o_custkey")).rows
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def prj6_find(spark, sf):
+    return t(spark, sf, "nation").where("n_nationkey = 7").select("n_nationkey", "n_name").limit(1)
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
+def prj7_positions(spark, sf):
+    return Collection(t(spark, sf, "customer").select("c_custkey"), "c_custkey").positions().select("c_custkey", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT p_partkey FROM part")
+def prj8_shuffle(spark, sf):
+    return Collection(t(spark, sf, "part").select("p_partkey"), "p_partkey").shuffle(7).rows
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_acctbal ELSE 1.5 END AS debt FROM supplier")
+def prj9_attribute(spark, sf):
+    c = Collection(t(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey").create_attribute("debt", 1.5, "double")
+    return c.set_attribute("debt", F.when(F.col("s_acctbal") < 0, F.col("s_acctbal"))).rows.select("s_suppkey", "debt")
+
+
+@query()
+def prj10_estimated_bytes(spark, sf):
+    size = Collection(t(spark, sf, "orders"), "o_orderkey").estimated_bytes()
+    return spark.createDataFrame([(float(size),)], "bytes double")
+
+
+@query("SELECT o_orderkey FROM orders")
+def srt1_sort(spark, sf):
+    return Collection(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey").sort().rows
+
+
+# --- messages ---------------------------------------------------------------------------------------
+
+CUSTOMERS = "c AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT o_custkey AS id, o_orderkey AS m, o_totalprice AS p FROM orders)"
+
+
+def _customers(spark, sf):
+    return t(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")), t(spark, sf, "orders").select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("m"), F.col("o_totalprice").alias("p"))
+
+
+@query(f"WITH {CUSTOMERS}, b AS (SELECT id, string_agg(m::VARCHAR, ',' ORDER BY m) AS x FROM o GROUP BY id) SELECT coalesce(c.id, b.id) AS id, coalesce(x, '') AS bag, x IS NOT NULL AS has_msgs FROM c FULL JOIN b ON c.id = b.id")
+def ch1_push(spark, sf):
+    state, sent = _customers(spark, sf)
+    got = messaging.push(state, "id", sent, "dst", "m")
+    return got.select("id", F.array_join(F.col("m").cast("array<string>"), ",").alias("bag"), "has_msgs")
+
+
+@query(f"WITH {CUSTOMERS}, b AS (SELECT id, sum(m)::BIGINT AS x FROM o GROUP BY id) SELECT coalesce(c.id, b.id) AS id, coalesce(x, 0) AS total FROM c FULL JOIN b ON c.id = b.id")
+def ch2_push_fold(spark, sf):
+    state, sent = _customers(spark, sf)
+    return messaging.push_fold(state, "id", sent, "dst", "m", F.lit(0).cast("long"), lambda a, x: a + x, "total").select("id", "total")
+
+
+@query(f"WITH {CUSTOMERS}, b AS (SELECT id, round(sum(p), 2) AS x FROM o GROUP BY id) SELECT coalesce(c.id, b.id) AS id, coalesce(x, 0) AS p, x IS NOT NULL AS has_msgs FROM c FULL JOIN b ON c.id = b.id")
+def ch3_push_combined(spark, sf):
+    state, sent = _customers(spark, sf)
+    return messaging.push_combined(state, "id", sent, "dst", "p", "sum", 0.0).select("id", F.round("p", 2).alias("p"), "has_msgs")
+
+
+@query("SELECT l_suppkey AS dst, sum(l_linenumber)::BIGINT AS total, min(l_shipdate)::VARCHAR AS first_day, min(l_returnflag) AS any_flag FROM lineitem GROUP BY 1")
+def ch4_combiners(spark, sf):
+    sent = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("total"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("first_day"), F.col("l_returnflag").alias("any_flag"))
+    return messaging.combine(sent, "dst", {"total": "sum", "first_day": "min", "any_flag": "keep_one"})
+
+
+@query("SELECT DISTINCT l_suppkey AS dst, l_linenumber AS m FROM lineitem")
+def ch4_dedupe(spark, sf):
+    return messaging.dedupe(t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("m")), "dst", "m")
+
+
+@query("SELECT o_custkey AS dst, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def ch5_run_length_combine(spark, sf):
+    return t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("dst")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 4) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
+def ch6_vector_sum(spark, sf):
+    sent = t(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return messaging.sum_vectors(sent, "label", "v").select("label", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 4))
+
+
+@query("SELECT c_custkey, (c_custkey % 5)::INTEGER AS pid FROM customer")
+def ch7_migrate(spark, sf):
+    got = messaging.migrate(t(spark, sf, "customer").select("c_custkey"), F.col("c_custkey") % 5, 5)
+    return got.withColumn("pid", F.spark_partition_id())
+
+
+@query("SELECT c_custkey FROM customer")
+def ch8_globalize(spark, sf):
+    return Collection(t(spark, sf, "customer").select("c_custkey"), "c_custkey").globalize().rows
+
+
+@query("SELECT o_orderkey FROM orders")
+def ch9_balance(spark, sf):
+    return messaging.balance(t(spark, sf, "orders").select("o_orderkey"), 8)
+
+
+@query("SELECT * FROM (VALUES (0, 1, 3), (0, 2, 2), (3, 2, 1)) v(src, dst, n)")
+def ch10_balance_plan(spark, sf):
+    return spark.createDataFrame(messaging.balance_plan({0: 10, 1: 2, 2: 2, 3: 6}), "src int, dst int, n int")
+
+
+@query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def ch12_broadcast_get(spark, sf):
+    d = messaging.Dictionary().publish(t(spark, sf, "nation").select("n_nationkey", "n_name"))
+    return d.get(t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), "k", "nation").select("c_custkey", "nation")
+
+
+@query("SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
+def ch12_broadcast_find(spark, sf):
+    d = messaging.Dictionary().publish(t(spark, sf, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name"))
+    return d.find(t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), "k").select("c_custkey")
+
+
+@query("SELECT n_nationkey AS key, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS value FROM nation")
+def ch12_broadcast_overwrite(spark, sf):
+    n = t(spark, sf, "nation")
+    d = messaging.Dictionary().publish(n.select("n_nationkey", "n_name")).publish(n.where("n_regionkey = 1").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!"))))
+    return d.entries
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS label FROM nation UNION ALL SELECT 1000 + r_regionkey, r_regionkey FROM region")
+def ch15_async_fixpoint(spark, sf):
+    # least region key that reaches a nation; the synchronous fixpoint of a minimum equals the asynchronous one
+    n, r = t(spark, sf, "nation"), t(spark, sf, "region")
+    edges = n.select((1000 + F.col("n_regionkey")).cast("long").alias("src"), (2000 + F.col("n_nationkey")).cast("long").alias("dst")).union(r.select(F.col("r_regionkey").cast("long"), (1000 + F.col("r_regionkey")).cast("long")))
+    got = graph.min_labels(edges.select(F.col("src").alias("id")), edges)
+    return got.where("id >= 1000").select(F.when(F.col("id") >= 2000, F.col("id") - 2000).otherwise(F.col("id")).alias("id"), "label")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(o_totalprice > 1000)::BIGINT AS large FROM orders")
+def ch18_aggregator_channel(spark, sf):
+    return t(spark, sf, "orders").agg(F.count("*").alias("n"), F.sum((F.col("o_totalprice") > 1000).cast("long")).alias("large"))
+
+
+RING = [0, 0, 4, 4, 2, 5, 3, 0, 5, 3, 3, 3, 2, 0, 0, 5, 3, 5, 5, 5]
+
+
+@query(f"SELECT range::BIGINT AS pos, {RING}[range + 1]::INTEGER AS worker FROM range(0, 20)")
+def ch19_hash_ring(spark, sf):
+    ring = messaging.HashRing()
+    for w in (0, 2, 3, 4, 5):
+        ring.insert(w)
+    return spark.range(20).select(F.col("id").alias("pos"), ring.column(F.col("id")).alias("worker"))
+
+
+@query("SELECT c_custkey, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def join_two_hop(spark, sf):
+    c, n, r = (t(spark, sf, x) for x in ("customer", "nation", "region"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "r_name")
+
+
+# --- aggregation ------------------------------------------------------------------------------------
+
+
+@query("SELECT sum(l_linenumber)::BIGINT AS total, count(*)::BIGINT AS n, max(l_linenumber)::BIGINT AS most FROM lineitem")
+def agg1_aggregators(spark, sf):
+    rows = t(spark, sf, "lineitem")
+    a, b, c = RunningAggregate(0), RunningAggregate(0), RunningAggregate(0, max, F.max)
+    a.update(rows, F.col("l_linenumber"))
+    b.update(rows, F.lit(1))
+    c.update(rows, F.col("l_linenumber"))
+    Aggregates(a, b, c).sync()
+    return spark.createDataFrame([(a.get(), b.get(), c.get())], "total long, n long, most long")
+
+
+@query("SELECT 2 * count(*)::BIGINT AS kept, count(*)::BIGINT AS reset FROM orders")
+def agg4_keep_and_reset(spark, sf):
+    rows = t(spark, sf, "orders")
+    kept, reset = RunningAggregate(0), RunningAggregate(0, reset=True)
+    both = Aggregates(kept, reset)
+    for _ in range(2):
+        kept.update(rows, F.lit(1))
+        reset.update(rows, F.lit(1))
+        both.sync()
+    return spark.createDataFrame([(kept.get(), reset.get())], "kept long, reset long")
+
+
+@query("SELECT 0::BIGINT AS waiting, count(*)::BIGINT AS after FROM nation")
+def agg5_inactive(spark, sf):
+    a = RunningAggregate(0)
+    a.active = False
+    a.update(t(spark, sf, "nation"), F.lit(1))
+    both = Aggregates(a)
+    both.sync()
+    waiting = a.get()
+    both.activate_all()
+    both.sync()
+    return spark.createDataFrame([(waiting, a.get())], "waiting long, after long")
+
+
+@query("SELECT bit_xor(o_orderkey)::BIGINT AS value FROM orders")
+def agg7_monoid(spark, sf):
+    value = monoid(t(spark, sf, "orders"), "o_orderkey", 0, lambda a, x: a ^ x, lambda a, b: a ^ b, "long")
+    return spark.createDataFrame([(value,)], "value long")
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS total, round(max(l_extendedprice), 2) AS most, round(sum(l_discount) / count(*), 6) AS mean FROM lineitem GROUP BY 1")
+def agg8_basic(spark, sf):
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.max("l_extendedprice"), 2).alias("most"), F.round(F.sum("l_discount") / F.count("*"), 6).alias("mean"))
+
+
+@query("SELECT (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 4) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
+def agg9_element_sum(spark, sf):
+    return t(spark, sf, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).groupBy("pos").agg(F.round(F.sum("v"), 4).alias("x"))
+
+
+@query("SELECT (i - 1)::INTEGER AS pos, round(max(abs(embedding[i]::DOUBLE)), 6) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
+def agg10_max_abs(spark, sf):
+    return t(spark, sf, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).groupBy("pos").agg(F.round(F.max(F.abs("v")), 6).alias("x"))
+
+
+@query("SELECT label, count(*)::BIGINT AS n, round(sum(embedding[1]::DOUBLE), 4) AS first FROM embeddings GROUP BY 1")
+def agg13_labeled_points(spark, sf):
+    return t(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first"))
+
+
+# --- functions --------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t]+'), lambda x: x <> ''))::INTEGER AS n, translate(substr(text, 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, (strpos(text, 'the') - 1)::INTEGER AS nxt, CASE WHEN contains(text, '.') THEN (length(text) - strpos(reverse(text), '.'))::INTEGER ELSE -1 END AS lst FROM documents")
+def fn_strings(spark, sf):
+    x = F.col("text")
+    return t(spark, sf, "documents").select("doc_id", F.size(S.tokens(x)).alias("n"), S.lower_ascii(F.substring(x, 1, 40)).alias("low"), S.find_next(x, "the").alias("nxt"), S.find_last(x, ".").alias("lst"))
+
+
+@query("SELECT event_id, props ->> '$.k' AS k, length(props)::INTEGER AS n FROM events")
+def fn4_json(spark, sf):
+    return t(spark, sf, "events").select("event_id", S.json_field(F.col("props"), "k").alias("k"), F.length("props").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS a, round(o_totalprice, 2) AS b FROM orders")
+def fn5_numbers(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", S.leading_int(F.concat(F.col("o_orderkey").cast("string"), F.lit("ab"))).alias("a"), F.round(S.leading_double(F.concat(F.format_string("%.4f", "o_totalprice"), F.lit("x"))), 2).alias("b"))
+
+
+@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS parts, list_contains(list(l_partkey), 7) AS has7 FROM lineitem GROUP BY 1")
+def fn6_arrays(spark, sf):
+    a = F.array_sort(F.collect_list("l_partkey"))
+    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(a.cast("array<string>"), ",").alias("parts"), F.array_contains(a, F.lit(7).cast("long")).alias("has7"))
+
+
+@query("SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(pow(p_size, 1.5), 4) AS b, round(exp(-p_size / 10.0), 6) AS c, round(ln(p_size), 6) AS d, round(log10(p_size), 6) AS e, abs(p_size - 25)::INTEGER AS f, least(p_size, 9)::INTEGER AS g, greatest(p_size, 9)::INTEGER AS h, ceil(p_size / 7.0)::BIGINT AS i FROM part")
+def fn7_math(spark, sf):
+    s = F.col("p_size")
+    return t(spark, sf, "part").select("p_partkey", F.round(F.sqrt(s), 6).alias("a"), F.round(F.pow(s, F.lit(1.5)), 4).alias("b"), F.round(F.exp(-s / 10.0), 6).alias("c"), F.round(F.ln(s), 6).alias("d"), F.round(F.log10(s), 6).alias("e"), F.abs(s - 25).alias("f"), F.least(s, F.lit(9)).alias("g"), F.greatest(s, F.lit(9)).alias("h"), F.ceil(s / 7.0).alias("i"))
+
+
+@query()
+def fn8_random(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", F.rand(3).alias("uniform"), F.randn(3).alias("normal"))
+
+
+DENSE = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _dense(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"WITH {DENSE} SELECT vec_id, round(-v[1], 6) AS neg, round(v[2] * 3, 6) AS mul, round(v[3] / 4, 6) AS quo, round(2 * v[1] - v[1] / 2, 6) AS mix, round(list_sum(list_transform(v, lambda x: x * x)), 4) AS dot, round(list_sum(list_transform(v, lambda x: x * x * 0.5)) + 1.5, 4) AS biased, 2.5::DOUBLE AS icpt FROM e")
+def vec_dense(spark, sf):
+    v = F.col("v")
+    half = V.scale_with_intercept(v, 0.5)
+    return _dense(spark, sf).select("vec_id", F.round(V.negate(v)[0], 6).alias("neg"), F.round(V.scale(v, 3.0)[1], 6).alias("mul"), F.round(V.divide(v, 4.0)[2], 6).alias("quo"), F.round(V.subtract(V.add(v, v), V.divide(v, 2.0))[0], 6).alias("mix"), F.round(V.dot(v, v), 4).alias("dot"), F.round(V.dot_with_intercept(half, v) + 1.0, 4).alias("biased"), F.element_at(V.scale_with_intercept(v, 2.5), -1).alias("icpt"))
+
+
+@query(f"WITH {DENSE}, s AS (SELECT vec_id, v, list_transform(v, lambda x: CASE WHEN x > 0 THEN x ELSE 0 END) AS p FROM e) SELECT vec_id, round(list_sum(list_transform(list_zip(v, p), lambda z: z[1] * z[2])), 4) AS ds, round(list_sum(list_transform(p, lambda x: x * x)) * -2, 4) AS ss, round(2 * p[1], 6) AS twice, round(sqrt(list_sum(list_transform(list_zip(v, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 4) AS dist, len(list_filter(p, lambda x: x <> 0))::INTEGER AS nnz FROM s")
+def vec_sparse(spark, sf):
+    v = F.col("v")
+    rows = _dense(spark, sf).select("vec_id", "v", V.to_sparse(F.transform(v, lambda x: F.when(x > 0, x).otherwise(F.lit(0.0)))).alias("s"))
+    s = F.col("s")
+    dense = V.to_dense(s, F.size(v))
+    return rows.select("vec_id", F.round(V.dense_sparse_dot(v, s), 4).alias("ds"), F.round(V.sparse_dot(V.sparse_negate(s), V.sparse_scale(s, 2.0)), 4).alias("ss"), F.round(V.sparse_add(s, s, F.size(v))[0], 6).alias("twice"), F.round(V.distance(v, dense), 4).alias("dist"), F.size(V.sort_sparse(s)).alias("nnz"))
+
+
+@query(f"WITH {DENSE}, m AS (SELECT i, max(abs(v[i])) AS d FROM e, range(1, len(v) + 1) r(i) GROUP BY i) SELECT vec_id, i::INTEGER AS pos, round(CASE WHEN d <> 0 THEN v[i] / d ELSE v[i] END, 6) AS x FROM e, range(1, len(v) + 1) r(i) JOIN m USING (i)")
+def m6_max_abs_scaler(spark, sf):
+    rows = _dense(spark, sf).select("vec_id", F.col("v").alias("x"), F.lit(0.0).alias("y"))
+    got = ml.MaxAbsScaler().fit_transform(rows).select("vec_id", F.posexplode("x").alias("pos", "x"))
+    return got.select("vec_id", (F.col("pos") + 1).alias("pos"), F.round("x", 6).alias("x"))
+
+
+# --- graphs -----------------------------------------------------------------------------------------
+
+EDGES = "edges AS (SELECT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem UNION ALL SELECT 1000000000 + l_partkey, l_suppkey FROM lineitem)"
+
+
+def _bipartite(spark, sf):
+    x = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
+    edges = x.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(x.select("b", "a"))
+    return edges.select(F.col("src").alias("id")), edges
+
+
+def _pagerank_sql(iters: int) -> str:
+    out = f"WITH {EDGES}, deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY 1), p0 AS MATERIALIZED (SELECT DISTINCT src AS id, 0.15::DOUBLE AS pr FROM edges)"
+    for i in range(1, iters):
+        out += f", p{i} AS MATERIALIZED (SELECT id, 0.85 * coalesce(m, 0) + 0.15 AS pr FROM p{i - 1} LEFT JOIN (SELECT dst, sum(pr / deg) AS m FROM edges JOIN deg USING (src) JOIN p{i - 1} ON id = src GROUP BY dst) ON dst = id)"
+    return out + f" SELECT id, round(pr, 6) AS pr FROM p{iters - 1}"
+
+
+@query(_pagerank_sql(4))
+def g1_pagerank(spark, sf):
+    return graph.pagerank(*_bipartite(spark, sf), 4).withColumn("pr", F.round("pr", 6))
+
+
+@query("SELECT DISTINCT o_custkey AS id, 0.15::DOUBLE AS pr FROM orders UNION ALL SELECT DISTINCT 1000000000 + o_custkey % 25, 0.0::DOUBLE FROM orders")
+def g2_pagerank_attribute(spark, sf):
+    # sources without in-edges hold 0.15 after an update; what they reach has no out-edges and stays 0
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("src")).distinct()
+    edges = o.select("src", (F.col("src") % 25 + 1_000_000_000).alias("dst"))
+    return graph.pagerank_attribute(o.select(F.col("src").alias("id")), edges, 3).withColumn("pr", F.round("pr", 6))
+
+
+@query("WITH e AS (SELECT s_nationkey AS n, 100 + s_suppkey AS s FROM supplier) SELECT s AS id, r_regionkey::BIGINT AS label FROM e JOIN nation ON n_nationkey = n JOIN region ON r_regionkey = n_regionkey")
+def g3_connected_components(spark, sf):
+    s, n = t(spark, sf, "supplier"), t(spark, sf, "nation")
+    up = s.select((100 + F.col("s_suppkey")).alias("src"), (30 + F.col("s_nationkey")).cast("long").alias("dst")).union(n.select((30 + F.col("n_nationkey")).cast("long"), F.col("n_regionkey").cast("long")))
+    edges = up.union(up.select("dst", "src"))
+    return graph.min_labels(edges.select(F.col("src").alias("id")), edges).where("id >= 100")
+
+
+@query("WITH RECURSIVE e AS (SELECT n_regionkey::BIGINT AS a, 100 + n_nationkey::BIGINT AS b FROM nation), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM x UNION SELECT x.b, r.c FROM r JOIN x ON x.a = r.id) SELECT id, min(c) AS label FROM r GROUP BY id")
+def g4_components_attribute(spark, sf):
+    n = t(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (100 + F.col("n_nationkey")).cast("long").alias("dst"))
+    edges = n.union(n.select("dst", "src"))
+    return graph.min_labels(edges.select(F.col("src").alias("id")), edges)
+
+
+@query("WITH e AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) SELECT count(*)::BIGINT AS n_triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+def g5_triangles(spark, sf):
+    # an order holds at most seven lines, so its pairs are bounded
+    x = t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
+    y = x.withColumnRenamed("src", "dst")
+    return graph.triangles(x.join(y, "l_orderkey").where("src < dst").select("src", "dst"))
+
+
+@query(f"WITH {DENSE}, p AS (SELECT vec_id AS id, v[1:4] AS x FROM e), m AS (SELECT i, var_pop(x[i]) AS var FROM p, range(1, 5) r(i) GROUP BY i), w AS (SELECT list(var ORDER BY i) AS w FROM m) SELECT a.id AS i, b.id AS j, round(CASE WHEN a.id = b.id THEN 0 ELSE exp(-list_sum(list_transform(list_zip(a.x, b.x, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / (2 * z[3])))) END, 6) AS a FROM p a, p b, w")
+def g7_affinity(spark, sf):
+    points = _dense(spark, sf).select(F.col("vec_id").alias("id"), F.slice("v", 1, 4).alias("x"))
+    return cluster.affinity(points).withColumn("a", F.round("a", 6))
+
+
+def _pic_sql(rounds: int) -> str:
+    out = "WITH x AS (SELECT s_suppkey AS i, s_nationkey AS k FROM supplier), m AS (SELECT p.i, q.i AS j, CASE WHEN p.i = q.i THEN 1.0 ELSE 1.0 / (1 + abs(p.k - q.k)) END AS a FROM x p, x q), s AS (SELECT i, sum(a) AS s FROM m GROUP BY i), v0 AS MATERIALIZED (SELECT i, s / (SELECT sum(s) FROM s) AS v FROM s)"
+    for r in range(1, rounds + 1):
+        out += f", t{r} AS MATERIALIZED (SELECT m.i, sum(a / s * v) AS t FROM m JOIN s USING (i) JOIN v{r - 1} ON v{r - 1}.i = m.j WHERE m.i <> m.j GROUP BY m.i), v{r} AS MATERIALIZED (SELECT i, t / (SELECT sum(t) FROM t{r}) AS v FROM t{r})"
+    return out + f" SELECT i, round(v, 8) AS v FROM v{rounds}"
+
+
+@query(_pic_sql(3))
+def g8_power_iteration(spark, sf):
+    x = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").alias("k"))
+    # suppliers by nations and nations by suppliers: an equi-join of two bounded key sets, not a cross join of rows
+    ks = x.select("k").distinct().withColumn("o", F.explode(F.array([F.lit(n) for n in range(25)])))
+    pairs = x.join(ks, "k").join(x.toDF("j", "o"), "o")
+    m = pairs.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(1.0 / (1 + F.abs(F.col("k") - F.col("o")))).alias("a"))
+    return cluster.power_iteration(m, 3, 0.0).withColumn("v", F.round("v", 8))
+
+
+@query()
+def g9_monte_carlo_pi(spark, sf):
+    return cluster.monte_carlo_pi(spark, 1_000_000)
+
+
+# --- learning ---------------------------------------------------------------------------------------
+
+
+def _lines(spark, sf, y):
+    return t(spark, sf, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"), y.alias("y"))
+
+
+def _fgd_sql(rounds: int, residual: str, y: str) -> str:
+    out = f"WITH d AS MATERIALIZED (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, {y} AS y FROM lineitem), w0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS c)"
+    for i in range(1, rounds + 1):
+        g = residual.format(f="(p * a + q * b + c)")
+        out += f", w{i} AS MATERIALIZED (SELECT any_value(p) + 0.1 / count(*) * sum({g} * a) AS p, any_value(q) + 0.1 / count(*) * sum({g} * b) AS q, any_value(c) + 0.1 / count(*) * sum({g}) AS c FROM d, w{i - 1})"
+    return out + f" SELECT round(p, 6) AS w0, round(q, 6) AS w1, round(c, 6) AS b FROM w{rounds}"
+
+
+def _weights(spark, w):
+    return spark.createDataFrame([tuple(float(x) for x in w)], "w0 double, w1 double, b double").select(*(F.round(c, 6).alias(c) for c in ("w0", "w1", "b")))
+
+
+@query(_fgd_sql(3, "(y - {f})", "l_extendedprice / 100000"))
+def m1_fgd_linear(spark, sf):
+    return _weights(spark, ml.LinearRegression(0.1).train(_lines(spark, sf, F.col("l_extendedprice") / 100000), 3).w)
+
+
+@query(_fgd_sql(3, "(y - 1 / (1 + exp(-{f})))", "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END"))
+def m5_logistic(spark, sf):
+    return _weights(spark, ml.LogisticRegression(0.1).train(_lines(spark, sf, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)), 3).w)
+
+
+def _svm_sql(rounds: int, lam: float = 0.01) -> str:
+    out = "WITH d AS MATERIALIZED (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS y FROM lineitem), w0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS c)"
+    for i in range(1, rounds + 1):
+        eta = 1 / i
+        near = "CASE WHEN y * (p * a + q * b + c) < 1 THEN 1.0 ELSE 0.0 END"
+        shrink = f"CASE WHEN any_value(p * p + q * q) > 0 THEN least(1.0, 1 / sqrt(any_value(p * p + q * q) * {lam})) ELSE 1.0 END * {1 - eta!r}"
+        out += f", w{i} AS MATERIALIZED (SELECT any_value(p) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * a) AS p, any_value(q) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * b) AS q, any_value(c) + {eta!r} / count(*) * sum({near} * y) AS c FROM d, w{i - 1})"
+    return out + f" SELECT round(p, 6) AS w0, round(q, 6) AS w1, round(c, 6) AS b FROM w{rounds}"
+
+
+@query(_svm_sql(3))
+def m8_svm(spark, sf):
+    m = ml.SVM(0.01).train(_lines(spark, sf, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0)), 3)
+    return _weights(spark, [*m.w, m.b])
+
+
+@query("WITH d AS (SELECT l_extendedprice / 100000 AS y FROM lineitem) SELECT round(avg(y * y), 6) AS error, round(1 - sum(y * y) / (var_pop(y) * count(*)), 4) AS r2 FROM d")
+def m4_linear_scores(spark, sf):
+    m = ml.LinearRegression(0.1)
+    m.w = [0.0, 0.0, 0.0]
+    rows = _lines(spark, sf, F.col("l_extendedprice") / 100000)
+    return spark.createDataFrame([(m.avg_error(rows), m.score(rows))], "error double, r2 double").select(F.round("error", 6).alias("error"), F.round("r2", 4).alias("r2"))
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(CASE WHEN 0.5137 * (l_quantity / 50) - 0.0211 * (l_discount * 10) - 0.25033 > 0 THEN 1 ELSE 0 END)::BIGINT AS ones FROM lineitem")
+def m3_predict(spark, sf):
+    m = ml.LogisticRegression(0.1)
+    m.w = [0.5137, -0.0211, -0.25033]
+    return m.predict(_lines(spark, sf, F.lit(0.0))).agg(F.count("*").alias("n"), F.sum("prediction").cast("long").alias("ones"))
+
+
+@query()
+def m2_sgd(spark, sf):
+    return _weights(spark, ml.sgd(_lines(spark, sf, F.col("l_extendedprice") / 100000), [0.0, 0.0, 0.0], 0.01, ml.linear_gradient))
+
+
+@query("SELECT 0.5::DOUBLE AS w0, 1.5::DOUBLE AS w1, 0.5::DOUBLE AS b")
+def m7_parameters(spark, sf):
+    p = ml.Parameters(3, 0.5)
+    p.update({1: 1.0})
+    return _weights(spark, p.get_all())
+
+
+@query()
+def m9_network(spark, sf):
+    rows = t(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("y"))
+    sizes = rows.agg(F.max(F.size("x")), F.max("y")).first()
+    net = ml.Network([sizes[0], 16, sizes[1] + 1], seed=1).train(rows, epochs=2, rate=1.0)
+    return spark.createDataFrame([(float(net.accuracy(rows)),)], "accuracy double")
+
+
+@query("SELECT 0::BIGINT AS key, (i - 1)::INTEGER AS pos, 28::DOUBLE AS x FROM range(1, 4) r(i)")
+def m10_vector_reduce(spark, sf):
+    sent = spark.range(8).select(F.lit(0).cast("long").alias("key"), F.array_repeat(F.col("id").cast("double"), 3).alias("v"))
+    return messaging.sum_vectors(sent, "key", "v").select("key", F.posexplode("v").alias("pos", "x"))
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+def _events(spark, sf):
+    """The events table as a stream of its files."""
+    rows = t(spark, sf, "events").select("event_id", "event_type")
+    path = fresh_path(spark, "events")
+    rows.repartition(4).write.parquet(path)
+    return counts.file_stream(spark, path, rows.schema)
+
+
+@query("SELECT event_type, count(*)::BIGINT AS cnt FROM events GROUP BY 1")
+def str1_batch_counts(spark, sf):
+    path = fresh_path(spark, "batches")
+    counts.batch_counts(_events(spark, sf), "event_type", path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.sum("cnt").alias("cnt"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS cnt FROM events GROUP BY 1")
+def str2_running_counts(spark, sf):
+    path = fresh_path(spark, "running")
+    counts.running_counts(_events(spark, sf), "event_type", path)
+    return counts.latest(spark, path, "event_type")
