@@ -1,13 +1,14 @@
 """Toxicity by compression distance: two zstandard dictionaries, and how much shorter one makes each window.
 
-Both dictionaries are raw content of the same size, written from training texts: frequent ordinary words in
-either, then telling words of toxic texts in the one and further ordinary words in the other.
-A window is a run of WORDS words. Its distance is the difference of its compressed lengths under
-the two, per character. No lexicon is given: parts of words that toxic texts hold far oftener than
-ordinary ones choose the words the toxic dictionary ends with.
+Both dictionaries are raw content of one size, written from training texts: frequent ordinary words in either, then, in the
+one, the telling parts of words of toxic texts and, in the other, those of ordinary texts. No lexicon is given: parts of
+words that one class holds far oftener, beyond chance among so many parts, are telling. Copies and near copies among the
+training texts count once.
 
-A text's evidence is the mean excess of its windows over the ordinary level and the share of
-windows beyond it; a logistic curve fitted on training texts calibrates both, so 0.5 is the threshold.
+A window is a run of WORDS words between boundaries of three characters, so that a short word with its boundaries is long
+enough for a match. Its distance is the difference of its compressed lengths under the two, per character. A text's
+evidence is the largest excess of its distinct windows over the ordinary level and how many exceed it, so repeated lines count
+once; a logistic curve fitted on training texts calibrates both, so 0.5 is the threshold.
 
 The fit reads at most `sample_docs` labelled texts (whole); all texts are scored on all their windows.
 Edge cases: null, empty and wordless texts have no window and score by the curve at zero evidence; without
@@ -17,6 +18,7 @@ labels every score is 0; with one class it is that class's smoothed share. Null
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,38 +30,68 @@ from keelson.llm.quality import labelled_sample, score_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 WORDS = 4
-DICT_BYTES = 4096
-MATCH = 6
-STRATEGY = zstandard.STRATEGY_GREEDY
-CHANCE = 0.35
+BOUND = "~~~"
+MATCH = 7
+CHANCE = 12.0
 GRAMS = (5, 6, 7)
-SHARED_BYTES = 2048
+PARTS = 128
+SHARED_BYTES = 1024
+#: Zeros before the content: zstandard sizes its hash table by the dictionary, and a roomy one loses no entries to others.
+ROOM = 65_536
+#: Ends every window and both dictionaries: a block that has one match is stored compressed, so each further match counts.
+TRAILER = "~0123456789~abcdefghijklmnopqrstuvwxyz~"
+
+
+def without_copies(words: list[list[str]]) -> list[int]:
+    """The first of each group of texts that share two of four minimal word hashes."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, ws in enumerate(words):
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in {w for w in ws if len(w) > 4}] or [i], np.uint64)
+        keys = [(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))]
+        if sum(k in seen for k in keys) < 2:
+            out.append(i)
+        seen.update(keys)
+    return out
 
 
-def telling(toxic: list[list[str]], plain: list[list[str]]) -> list[str]:
-    """Parts of words that toxic texts hold far oftener, by the root of the likelihood ratio, the strongest first; chance ones fall far behind."""
+def grams_of(df: Counter) -> Counter:
+    """How often texts hold each part of a word, by the words' document frequencies."""
+    out = Counter()
+    for x, n in df.items():
+        w = f" {x} "
+        for g in {w[i : i + k] for k in GRAMS for i in range(len(w) - k + 1)}:
+            out[g] += n
+    return out
 
-    def grams(texts: list[list[str]]) -> Counter:
-        out = Counter()
-        for ws in texts:
-            out.update({w[i : i + k] for x in set(ws) for w in (f" {x} ",) for k in GRAMS for i in range(len(w) - k + 1)})
-        return out
 
-    a = grams(toxic)
-    b = grams(plain)
+def telling(toxic: Counter, plain: Counter, n_toxic: int, n_plain: int) -> list[str]:
+    """Parts of words that toxic texts hold far oftener, by the root of the likelihood ratio, the strongest first.
+
+    toxic, plain: document frequencies of words. A part is left out if chance could explain it among so many, or if the words
+    that have it mostly have a stronger part.
+    """
+    a, b = grams_of(toxic), grams_of(plain)
     scored = {}
     for g, n in a.items():
-        odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((b[g] + 0.5) / (len(plain) + 1))
+        odds = np.log((n + 0.5) / (n_toxic + 1)) - np.log((b[g] + 0.5) / (n_plain + 1))
         if n >= 3 and odds > 1.2:
-            mean = (n + b[g]) / (len(toxic) + len(plain))
-            g2 = sum(2 * k * np.log(k / (m * mean)) for k, m in ((n, len(toxic)), (b[g], len(plain))) if k)
-            scored[g] = float(np.sqrt(max(g2, 0.0)))
-    out: list[str] = []
-    for g in sorted(scored, key=lambda g: (-scored[g], g)):
-        if scored[g] < CHANCE * max(scored.values()) or len(out) >= 64:
+            mean = (n + b[g]) / (n_toxic + n_plain)
+            g2 = sum(2 * k * np.log(k / (m * mean)) for k, m in ((n, n_toxic), (b[g], n_plain)) if k)
+            if g2 > 2 * np.log(len(a)) + CHANCE:
+                scored[g] = float(np.sqrt(g2))
+    holders: dict[str, list[str]] = {g: [] for g in scored}
+    for x in toxic:
+        w = f" {x} "
+        for g in {w[i : i + k] for k in GRAMS for i in range(len(w) - k + 1)} & scored.keys():
+            holders[g].append(x)
+    out, explained = [], set()
+    for g in sorted(scored, key=lambda g: (-scored[g], -len(g), g)):
+        if len(out) >= PARTS:
             break
-        if not any(g in o or o in g for o in out):
+        if len(g.replace(" ", BOUND).encode()) >= MATCH and sum(toxic[x] for x in holders[g] if x not in explained) >= 0.5 * a[g]:
             out.append(g)
+            explained.update(holders[g])
     return out
 
 
@@ -77,30 +109,26 @@ class DictionaryPair:
         if self._made is None:
             make = lambda raw: zstandard.ZstdCompressor(
                 dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                compression_params=zstandard.ZstdCompressionParameters(window_log=14, hash_log=14, chain_log=14, search_log=4, min_match=MATCH, strategy=STRATEGY, write_content_size=False, write_checksum=False, write_dict_id=False),
+                compression_params=zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=MATCH, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False),
             )
             self._made = make(self.toxic).compress, make(self.plain).compress
         return self._made
 
     def distances(self, text: str | None) -> np.ndarray:
-        """By window, how many bytes a character the toxic dictionary saves over the ordinary one."""
+        """By distinct window, how many bytes a character the toxic dictionary saves over the ordinary one."""
         words = WORD.findall((text or "").lower())
         a, b = self.compressors()
-        out, memo = [], {}
-        for i in range(0, len(words), WORDS):
-            w = f" {' '.join(words[i : i + WORDS])} "
-            if (d := memo.get(w)) is None:
-                data = w.encode("utf-8", "surrogatepass")
-                d = memo[w] = (len(b(data)) - len(a(data))) / (len(data) + 4)
-            out.append(d)
-        return np.array(out)
+        windows = dict.fromkeys(BOUND.join(words[i : i + WORDS]) for i in range(0, len(words), WORDS))
+        out = np.empty(len(windows))
+        for i, w in enumerate(windows):
+            data = f"{BOUND}{w}{BOUND}{TRAILER}".encode("utf-8", "surrogatepass")
+            out[i] = (len(b(data)) - len(a(data))) / (len(w) + 16)
+        return out
 
     def evidence(self, text: str | None) -> np.ndarray:
-        d = self.distances(text) - self.center
-        if not len(d):
-            return np.zeros(2)
-        beyond = np.maximum(0, d)
-        return np.array([beyond.sum() / np.sqrt(len(d)), beyond.mean()]) * [1, 10]
+        """The largest excess over the ordinary level, and the logarithm of how many windows exceed it."""
+        beyond = np.maximum(0, self.distances(text) - self.center)
+        return np.array([5 * beyond.max(), np.log1p((beyond > 0).sum())]) if len(beyond) else np.zeros(2)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         e = np.array([[*self.evidence(t), 1.0] for t in texts]).reshape(-1, 3)
@@ -115,23 +143,22 @@ class DictionaryPair:
             self.curve = np.array([0, 0, np.log(share / (1 - share))])
             return self
         words = [WORD.findall((t or "").lower()) for t in texts]
-        toxic, plain = [w for w, v in zip(words, y, strict=True) if v], [w for w, v in zip(words, y, strict=True) if not v]
-        told = telling(toxic, plain)
-        often = Counter(x for ws in toxic for x in set(ws))
-        parts: list[str] = []
-        for gram in told:
-            has = sorted((x for x in often if gram in f" {x} "), key=lambda x: (-often[x], x))[:3]
-            parts += [x for x in has if x not in parts]
-        own = (" " + " ".join(reversed(parts)) + " ").encode()[-DICT_BYTES:]
-        # ordinary words, the most frequent last, none with a telling part: what both dictionaries share, and as many bytes again for the ordinary one
-        freq = Counter(x for ws in plain for x in set(ws))
-        fill = [x for x, _ in sorted(freq.items(), key=lambda z: (-z[1], z[0])) if not any(g in f" {x} " for g in told)]
-        text = (" " + " ".join(reversed(fill[:1200])) + " ").encode()
-        shared = text[-SHARED_BYTES:]
-        self.toxic, self.plain = shared + own, shared + text[: -len(shared)][-len(own) :]
+        once = [(words[i], y[i]) for i in without_copies(words)]
+        n = [sum(v == k for _, v in once) for k in (0, 1)]
+        plain, toxic = (Counter(x for ws, v in once if v == k for x in set(ws)) for k in (0, 1))
+        told, usual = telling(toxic, plain, n[1], n[0]), telling(plain, toxic, n[0], n[1])
+        # a mark keeps a match from running into the next part; whole words have no boundary at their end, so that an ordinary
+        # ending doesn't match; the last bytes of a dictionary are never matched, so zeros end it
+        bounded = lambda g: (g.rstrip() if g[0] == g[-1] == " " else g).replace(" ", BOUND)
+        written = lambda parts: "".join(f"{bounded(g)}{chr(1 + i % 8)}" for i, g in enumerate(reversed(parts))).encode("utf-8", "surrogatepass")
+        own, other = written(told), written(usual)
+        size = max(len(own), len(other))
+        frequent = [x for x, _ in sorted(plain.items(), key=lambda z: (-z[1], z[0])) if not any(g in f" {x} " for g in told)]
+        shared = BOUND.join(["", *reversed(frequent[:1200]), ""]).encode("utf-8", "surrogatepass")[-SHARED_BYTES:]
+        self.toxic, self.plain = (bytes(ROOM) + TRAILER.encode() + shared + bytes(1 + size - len(part)) + part + bytes(16) for part in (own, other))
         self._made = None
-        d = np.concatenate([self.distances(" ".join(w)) for w in plain if w] or [np.zeros(1)])
-        self.center = float(np.quantile(d, 0.995))
+        d = np.concatenate([self.distances(" ".join(ws)) for ws, v in once if ws and not v] or [np.zeros(1)])
+        self.center = float(np.quantile(d, 0.998))
         e = np.array([[*self.evidence(t), 1.0] for t in texts])
         w, ridge = np.zeros(3), np.array([0.05, 0.05, 0.01])
         for _ in range(80):
