@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that
 is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases: rows without a doc_id go with language ID, as nothing could refer to them; null and letterless texts are
+rejected there too; rows that share a doc_id are copies of one document, of which near-duplicate removal keeps the row with
+the least text; null lang, source and n_chars pass through; empty tables give no rows; further columns of documents are left out.
 """
 
 from __future__ import annotations
@@ -16,11 +20,6 @@ from keelson.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with the language found."""
     found = language.identify_documents(docs).where("kept").groupBy("doc_id").agg(F.min("language").alias("found"))
@@ -30,13 +29,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link."""
-    return _only(docs, minhash.near_duplicates(docs, shingle_words=5).where("kept"))
+    kept = minhash.near_duplicates(docs, shingle_words=5).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    one = rest.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    return one.select("doc_id", "d.*").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified benchmark item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    read = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
+    return read.where("kept").select(*COLUMNS).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,9 +204,13 @@ def contaminated(index: Index, texts: list[str | None], threshold: float, questi
     return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.35, question: float = 0.6, answer: float = 0.6) -> DataFrame:
-    """doc_id, n_items, items (sorted ids), best_score, contaminated; one row for each document row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.35, question: float = 0.6, answer: float = 0.6, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_items, items (sorted ids), best_score, contaminated and kept (its opposite); one row for each document row.
+
+    `carry` names string columns to pass on, the text among them if asked for, so that a filter needs no join back.
+    """
+    carry = carry or []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("string").alias(f"c_{c}") for c in carry if c != "text"))
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -221,11 +225,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.35, quest
             if carried:
                 ids = [sorted({*a, *b}) for a, b in zip(ids, rows["items"], strict=True)]
                 best = [max(a, b) for a, b in zip(best, rows["best"], strict=True)]
-            return {"doc_id": rows["doc_id"], "text": rows["text"] if block + 1 < blocks else [None] * len(ids), "items": ids, "best": best}
+            return rows | {"text": rows["text"] if block + 1 < blocks or "text" in carry else [None] * len(ids), "items": ids, "best": best}
 
-        return map_chunks(rows_in, run, "doc_id long, text string, items array<long>, best double")
+        return map_chunks(rows_in, run, "doc_id long, text string, items array<long>, best double" + "".join(f", c_{c} string" for c in carry if c != "text"))
 
     out = docs
     for block in range(blocks):
         out = scan(out, block, block > 0)
-    return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", F.round("best", 6).alias("best_score"), (F.size("items") > 0).alias("contaminated"))
+    return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", F.round("best", 6).alias("best_score"), (F.size("items") > 0).alias("contaminated"), (F.size("items") == 0).alias("kept"), *(F.col(c if c == "text" else f"c_{c}").alias(c) for c in carry))
