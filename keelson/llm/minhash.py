@@ -6,11 +6,14 @@
    hash range, so that sets of a few shingles fill every register.
 2. Documents with equal sets form a class; only its representative (least doc_id) goes on.
 3. Bands of 3 registers meet in groups. A pair with Jaccard similarity 0.8 or more misses all 32 bands
-   with probability 1e-10. Groups of up to SMALL documents become pairs, which the collision-corrected
-   estimate thins out (5 standard deviations below the threshold), and the survivors are compared
-   on whole sets. Larger groups are cut into blocks; tasks compare block with block on whole sets and
-   emit a spanning forest, never all pairs. A pair is looked at in its first common band only.
-4. Links become components by star contraction; classes and components join back to all documents.
+   with probability 1e-10. Groups of up to SMALL documents become pairs; in larger ones every document
+   pairs with the group's least, so a group of near copies costs as many pairs as it has members. The
+   collision-corrected estimate thins pairs out (5 standard deviations below the threshold), and the
+   survivors are compared on whole sets. A least document of many pairs is spread over salts.
+4. Members of a large group that are linked with its least are connected already. The others, its rest, are
+   compared with all members, block by block; a task emits a spanning forest, never all pairs. A pair is
+   looked at in its first common band only: there it is connected by the least or one of it is in the rest.
+5. Links become components by star contraction; classes and components join back to all documents.
 
 Edge cases: null or wordless texts have the empty set and link with nothing; a null doc_id keeps its row
 with component_id null and kept true; repeated doc_ids share one component; an empty table gives no rows.
@@ -28,7 +31,7 @@ from keelson.llm.common import CHUNK, ascii_lower, codes_of, is_space, map_chunk
 from keelson.llm.graph import components
 
 REGISTERS, ROWS, MANTISSA = 96, 3, 10
-SMALL = 8
+SMALL, SPREAD = 8, 256
 BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 2048
 _rng = np.random.default_rng(20240601)
 FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -122,36 +125,34 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _block_links(rows, n: int, percent: int, band: int, same: bool):
-    """Links that span what is linked inside one group's block or between two blocks. rows: (doc_id, text, registers, side)."""
+def _rest_links(rows, n: int, percent: int, band: int) -> list[tuple[int, int]]:
+    """Links that span what is linked between a block of a group's rest and a block of all its members. rows: (doc_id, text, registers, is rest, side)."""
     sets = shingle_sets([r[1] for r in rows], n)
     regs = np.array([np.frombuffer(r[2], np.uint16) for r in rows])
-    sizes = np.array([len(s) for s in sets])
-    ids, sides = [r[0] for r in rows], np.array([r[3] for r in rows])
-    parent = list(range(len(rows)))
+    sizes, ids = np.array([len(s) for s in sets]), np.array([r[0] for r in rows])
+    rest, side = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    parent: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
+        while parent.get(i, i) != i:
+            parent[i] = parent.get(parent[i], parent[i])
             i = parent[i]
         return i
 
-    out, low = [], floor_for(percent / 100)
-    for i in range(len(rows)):
-        others = np.arange(i) if same else np.flatnonzero(sides[:i] != sides[i])
+    out, low, members = [], floor_for(percent / 100), np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        others = members[(ids[members] < ids[i]) | ~rest[members] & (ids[members] != ids[i])]  # two of the rest meet once
         if not len(others):
             continue
         equal = regs[others] == regs[i]
         est = estimate(equal.sum(axis=1), sizes[others], sizes[i])
-        # only where this band is the pair's first common one
         shared = equal.reshape(len(others), -1, ROWS).all(axis=2)
-        first = shared.argmax(axis=1)
-        good = np.flatnonzero((est >= low) & shared.any(axis=1) & (first == band))
-        for j in good[np.argsort(-est[good], kind="stable")]:
-            a, b = root(i), root(int(others[j]))
-            if a != b and _similar(sets[i], sets[int(others[j])], percent):
+        good = np.flatnonzero((est >= low) & shared.any(axis=1) & (shared.argmax(axis=1) == band))
+        for j in others[good[np.argsort(-est[good], kind="stable")]]:
+            a, b = root(int(ids[i])), root(int(ids[j]))
+            if a != b and _similar(sets[i], sets[j], percent):
                 parent[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[int(others[j])]))
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
@@ -171,11 +172,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     grouped = entries.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("rep").alias("least")).where("c > 1")
     met = materialize(entries.join(grouped.hint("shuffle_hash"), ["band", "key"]), "met")
 
-    # small groups: pairs, thinned by the estimate, compared on whole sets
+    # pairs of small groups, and of large ones each member with the least; b is the smaller id
     listed = met.where(F.col("c") <= SMALL).groupBy("band", "key").agg(F.sort_array(F.collect_set("rep")).alias("ids"))
-    pairs = listed.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
-    slim = sketches.select("rep", "n_shingles", "registers")
-    joined = pairs.join(slim.toDF("a", "na", "ra"), "a").join(slim.toDF("b", "nb", "rb"), "b")
+    small = listed.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("p")).select("p.a", "p.b", F.lit(1).alias("salts"))
+    large = met.where(F.col("c") > SMALL)
+    stars = large.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"), F.ceil(F.col("c") / SPREAD).cast("int").alias("salts"))
+    pairs = small.union(stars).groupBy("a", "b").agg(F.max("salts").alias("salts"))
+    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")), "pairs")
+
+    def both(rows: DataFrame, side: DataFrame) -> DataFrame:
+        """Pairs with what `side` (id, value) has of either; the b of many pairs is spread over salts."""
+        spread = rows.groupBy("b").agg(F.max("salts").alias("n")).select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+        return rows.join(side.toDF("a", "x"), "a").join(spread.join(side.toDF("b", "y"), "b"), ["b", "salt"])
+
+    slim = sketches.select("rep", F.struct("n_shingles", "registers"))
+    joined = both(pairs, slim).select("a", "b", "salts", "salt", F.col("x.n_shingles").alias("na"), F.col("x.registers").alias("ra"), F.col("y.n_shingles").alias("nb"), F.col("y.registers").alias("rb"))
     low = floor_for(percent / 100)
 
     def thin(batches):
@@ -185,39 +196,45 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
                 y = np.array([np.frombuffer(r, np.uint16) for r in pdf["rb"]])
                 na, nb = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
                 ok = (estimate((x == y).sum(axis=1), na, nb) >= low) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                yield pdf.loc[ok, ["a", "b"]]
+                yield pdf.loc[ok, ["a", "b", "salts", "salt"]]
 
-    likely = materialize(joined.mapInPandas(thin, "a long, b long"), "likely")
-    one_text = docs.where("doc_id is not null").join(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(met.where(F.col("c") > SMALL).select("rep")).distinct(), "doc_id", "left_semi")
-    texts = materialize(one_text.dropDuplicates(["doc_id"]), "texts")
-    sided = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    likely = materialize(joined.mapInPandas(thin, "a long, b long, salts int, salt int"), "likely")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return materialize(docs.where("doc_id is not null").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def verify(rows: dict[str, list]) -> dict:
-        x, y = shingle_sets(rows["ta"], shingle_words), shingle_sets(rows["tb"], shingle_words)
+        x, y = shingle_sets(rows["x"], shingle_words), shingle_sets(rows["y"], shingle_words)
         ok = [i for i in range(len(x)) if _similar(x[i], y[i], percent)]
         return {"u": [rows["a"][i] for i in ok], "v": [rows["b"][i] for i in ok]}
 
-    links = map_chunks(sided.select("a", "b", "ta", "tb"), verify, "u long, v long", size_by="ta")
-
-    # larger groups: blocks against blocks
-    large = met.where(F.col("c") > SMALL)
-    weight = texts.select(F.col("doc_id").alias("rep"), "text", F.octet_length("text").alias("bytes"))
-    rows = large.join(weight, "rep").join(slim.drop("n_shingles"), "rep")
-    total = large.join(weight.select("rep", "bytes"), "rep").groupBy("band", "key").agg(F.sum("bytes").alias("total"))
-    rows = rows.join(total.hint("shuffle_hash"), ["band", "key"])
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_BYTES), F.ceil(F.col("c") / BLOCK_DOCS)).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("band", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "text", "registers")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        same = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        got = _block_links(list(zip(pdf["rep"], pdf["text"], pdf["registers"], pdf["mine"], strict=True)), shingle_words, percent, int(pdf["band"].iloc[0]), same)
-        return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
-
-    forest = dealt.groupBy("band", "key", "x", "y").applyInPandas(compare, "u long, v long")
-    found = components(links.union(forest))
+    sided = both(likely, texts_of(likely.select(F.explode(F.array("a", "b"))))).select("a", "b", "x", "y")
+    links = materialize(map_chunks(sided, verify, "u long, v long", size_by="x"), "verified")
+
+    # what a large group's least doesn't link
+    apart = large.where("rep <> least").join(links.toDF("rep", "least"), ["rep", "least"], "left_anti").select("band", "key", "rep", F.lit(True).alias("rest"))
+    apart = materialize(apart, "rest")
+    if apart.limit(1).count():
+        counts = apart.groupBy("band", "key").agg(F.count("*").alias("n_rest"))
+        members = large.select("band", "key", "rep", "c").join(counts.hint("shuffle_hash"), ["band", "key"]).join(apart, ["band", "key", "rep"], "left")
+        texts = texts_of(members.select("rep"))
+        weighed = members.join(texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes")), "rep")
+        total = weighed.groupBy("band", "key").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(F.col("rest"), F.col("bytes")).otherwise(0)).alias("rest_bytes"))
+        cut = lambda size, count: F.greatest(F.ceil(F.col(size) / BLOCK_BYTES), F.ceil(F.col(count) / BLOCK_DOCS), F.lit(1)).cast("int")
+        keyed = members.join(total.hint("shuffle_hash"), ["band", "key"]).select("band", "key", "rep", F.coalesce("rest", F.lit(False)).alias("rest"), cut("rest_bytes", "n_rest").alias("nx"), cut("all_bytes", "c").alias("ny"))
+        at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = keyed.where("rest").select("band", "key", "rep", "rest", F.lit(0).alias("side"), at("nx").alias("x"), every("ny").alias("y"))
+        right = keyed.select("band", "key", "rep", "rest", F.lit(1).alias("side"), every("nx").alias("x"), at("ny").alias("y"))
+        dealt = left.union(right).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(sketches.select("rep", "registers"), "rep")
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["side", "rep"])
+            got = _rest_links(list(zip(pdf["rep"], pdf["text"], pdf["registers"], pdf["rest"], pdf["side"], strict=True)), shingle_words, percent, int(pdf["band"].iloc[0]))
+            return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
+
+        links = links.union(dealt.groupBy("band", "key", "x", "y").applyInPandas(compare, "u long, v long"))
+    found = components(links)
 
     member = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     out = member.join(found.toDF("rep", "component"), "rep", "left")
