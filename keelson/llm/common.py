@@ -54,6 +54,18 @@ def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+def slices(texts: list[str | None], limit: int = 200_000) -> Iterator[slice]:
+    """Consecutive slices of about `limit` characters, one text at least: numpy arrays take a hundred times a text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > limit:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and where each text starts (one more entry than texts)."""
     texts = [t or "" for t in texts]

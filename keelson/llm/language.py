@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import codes_of, map_chunks, materialize
+from keelson.llm.common import codes_of, map_chunks, materialize, slices
+from keelson.llm.sampling import hashed_sample
 
 BUCKETS = 1 << 15
 TEMPER = 40.0
@@ -75,8 +76,10 @@ class TextModel:
         self.languages = sorted(set(languages))
         counts = np.zeros((BUCKETS, max(1, len(self.languages))))
         for k, lang in enumerate(self.languages):
-            slots, _ = gram_slots([t for t, x in zip(texts, languages, strict=True) if x == lang])
-            counts[:, k] = np.bincount(slots.ravel(), minlength=BUCKETS)
+            own = [t for t, x in zip(texts, languages, strict=True) if x == lang]
+            for part in slices(own):
+                slots, _ = gram_slots(own[part])
+                counts[:, k] += np.bincount(slots.ravel(), minlength=BUCKETS)
         self.logp = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * BUCKETS)).astype(np.float32)
 
     def loglik(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +122,9 @@ def suffix_of(host: Column) -> Column:
 def identify(rows: DataFrame, accepted: list[str] | None = None, least: float = 0.5, sample_docs: int = 2000, smooth: float = 20.0) -> DataFrame:
     """rows: id, text, declared, host (any but id and text may be null). Returns id, language, confidence, text_language, declared, kept."""
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string").alias("host"))
-    told = rows.where("declared is not null and text is not null and declared <> ''").select("id", "text", "declared").orderBy(F.xxhash64("id"), "id", "declared").limit(sample_docs).collect()
+    some = hashed_sample(rows.where("id is not null and declared <> ''").select("id", "declared").distinct(), "id", sample_docs)
+    told = rows.join(F.broadcast(some), ["id", "declared"]).groupBy("id", "declared").agg(F.min("text").alias("text")).collect()  # at most sample_docs rows
+    told.sort(key=lambda r: (r["id"], r["declared"]))
     often = {}
     for r in told:
         often[r["declared"]] = often.get(r["declared"], 0) + 1
