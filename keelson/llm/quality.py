@@ -20,8 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import map_chunks
+from keelson.llm.common import map_chunks, slices
 from keelson.llm.features import NAMES, line_features
+from keelson.llm.sampling import hashed_sample
 
 WIDTH = 3 * len(NAMES) + 3
 
@@ -84,13 +85,16 @@ class LineCrf:
         self.mean, self.std = np.zeros(WIDTH), np.ones(WIDTH)
         self.curve = (0.0, 0.0)
 
-    def raw(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        f, of, length = line_features(texts)
-        p, _ = marginals(((with_neighbours(f, of) - self.mean) / self.std) @ self.weights, of, self.chain)
-        return means(p, of, length.astype(float), len(texts)), np.bincount(of, minlength=len(texts)) > 0
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for part in slices(texts):
+            f, of, length = line_features(texts[part])
+            p, _ = marginals(((with_neighbours(f, of) - self.mean) / self.std) @ self.weights, of, self.chain)
+            out.append(means(p, of, length.astype(float), part.stop - part.start))
+        return np.concatenate(out)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        raw, _ = self.raw(texts)
+        raw = self.raw(texts)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * raw + self.curve[1], -30, 30)))
 
     def fit(self, texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 64, seed: int = 5) -> LineCrf:
@@ -99,8 +103,8 @@ class LineCrf:
         if not len(y) or y.min() == y.max():
             self.curve = (0.0, float(np.log(share / (1 - share))) if len(y) else 0.0)
             return self
-        f, of, length = line_features(texts)
-        x = with_neighbours(f, of)
+        made = [(with_neighbours(*got[:2]), got[1] + part.start) for part in slices(texts) for got in (line_features(texts[part]),)]
+        x, of = (np.concatenate([m[i] for m in made]) for i in (0, 1))
         if len(x):
             self.mean, self.std = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-6
             self.mean[-1], self.std[-1] = 0, 1
@@ -127,7 +131,7 @@ class LineCrf:
                 c2 += c * c
                 self.weights += 0.3 * g / np.sqrt(g2)
                 self.chain += 0.05 * c / np.sqrt(c2)
-        raw, _ = self.raw(texts)
+        raw = self.raw(texts)
         a, b = 1.0, 0.0
         for _ in range(60):  # Newton steps of a logistic curve with a small ridge
             p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
@@ -144,7 +148,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tup
     """At most `sample_docs` texts and labels outside the held-out fold. docs: doc_id, text; labels: doc_id, label."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = hashed_sample(rows, "doc_id", sample_docs)
     got = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # at most sample_docs rows
     got = got.select("text", "label", "doc_id").orderBy("doc_id").collect()
     return [r["text"] for r in got], [r["label"] for r in got]

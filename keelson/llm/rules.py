@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.llm.sampling import hashed_sample
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "digit_rate", "distinct_rate"]
@@ -80,7 +82,7 @@ Rule = list[tuple[str, str, float]]
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, bins: int = 32, precision: float = 0.9, max_rules: int = 12, max_terms: int = 3) -> list[Rule]:
     """Rules for label 0, best first. docs: doc_id, text; labels: doc_id, label (0 bad, 1 good), one row a document."""
     sample = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = hashed_sample(sample, "doc_id", sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows rows
     stats = statistics(rows, ["doc_id", "label"]).select("label", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("prune"), *(F.col(f).cast("double").alias(f) for f in FEATURES))
     stats = stats.persist()

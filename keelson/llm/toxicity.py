@@ -43,11 +43,11 @@ TRAILER = "~0123456789~abcdefghijklmnopqrstuvwxyz~"
 
 
 def without_copies(words: list[list[str]]) -> list[int]:
-    """The first of each group of texts that share two of four minimal word hashes."""
+    """The first of each group of texts, given as their distinct words, that share two of four minimal word hashes."""
     seen: set[tuple[int, int]] = set()
     out = []
     for i, ws in enumerate(words):
-        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in {w for w in ws if len(w) > 4}] or [i], np.uint64)
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in [w for w in ws if len(w) > 4]] or [i], np.uint64)
         keys = [(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))]
         if sum(k in seen for k in keys) < 2:
             out.append(i)
@@ -142,10 +142,11 @@ class DictionaryPair:
             share = (y.sum() + 1) / (len(y) + 2)
             self.curve = np.array([0, 0, np.log(share / (1 - share))])
             return self
-        words = [WORD.findall((t or "").lower()) for t in texts]
-        once = [(words[i], y[i]) for i in without_copies(words)]
-        n = [sum(v == k for _, v in once) for k in (0, 1)]
-        plain, toxic = (Counter(x for ws, v in once if v == k for x in set(ws)) for k in (0, 1))
+        names: dict[str, str] = {}  # each word once in memory
+        words = [[names.setdefault(w, w) for w in set(WORD.findall((t or "").lower()))] for t in texts]
+        first = without_copies(words)
+        n = [sum(y[i] == k for i in first) for k in (0, 1)]
+        plain, toxic = (Counter(x for i in first if y[i] == k for x in words[i]) for k in (0, 1))
         told, usual = telling(toxic, plain, n[1], n[0]), telling(plain, toxic, n[0], n[1])
         # a mark keeps a match from running into the next part; whole words have no boundary at their end, so that an ordinary
         # ending doesn't match; the last bytes of a dictionary are never matched, so zeros end it
@@ -157,7 +158,7 @@ class DictionaryPair:
         shared = BOUND.join(["", *reversed(frequent[:1200]), ""]).encode("utf-8", "surrogatepass")[-SHARED_BYTES:]
         self.toxic, self.plain = (bytes(ROOM) + TRAILER.encode() + shared + bytes(1 + size - len(part)) + part + bytes(16) for part in (own, other))
         self._made = None
-        d = np.concatenate([self.distances(" ".join(ws)) for ws, v in once if ws and not v] or [np.zeros(1)])
+        d = np.concatenate([self.distances(texts[i]) for i in first if not y[i]] or [np.zeros(1)])
         self.center = float(np.quantile(d, 0.998))
         e = np.array([[*self.evidence(t), 1.0] for t in texts])
         w, ridge = np.zeros(3), np.array([0.05, 0.05, 0.01])
