@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import mix
 from keelson.llm.quality import labelled_sample, score_rows
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,12 +43,18 @@ ROOM = 65_536
 TRAILER = "~0123456789~abcdefghijklmnopqrstuvwxyz~"
 
 
-def without_copies(words: list[list[str]]) -> list[int]:
-    """The first of each group of texts, given as their distinct words, that share two of four minimal word hashes."""
+def packed(text: str) -> bytes:
+    """One byte a character (the low one of each UTF-16 unit), so that no match is half a character."""
+    return text.encode("utf-16-le", "surrogatepass")[::2]
+
+
+def without_copies(texts: list[list[str]]) -> list[int]:
+    """The first of each group of texts, given as their words, that share two of four minimal hashes of three-word shingles."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, ws in enumerate(words):
-        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in [w for w in ws if len(w) > 4]] or [i], np.uint64)
+    for i, ws in enumerate(texts):
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws] or [i], np.uint64)
+        h = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)) if len(h) > 2 else h
         keys = [(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))]
         if sum(k in seen for k in keys) < 2:
             out.append(i)
@@ -89,7 +96,7 @@ def telling(toxic: Counter, plain: Counter, n_toxic: int, n_plain: int) -> list[
     for g in sorted(scored, key=lambda g: (-scored[g], -len(g), g)):
         if len(out) >= PARTS:
             break
-        if len(g.replace(" ", BOUND).encode()) >= MATCH and sum(toxic[x] for x in holders[g] if x not in explained) >= 0.5 * a[g]:
+        if len(g.replace(" ", BOUND)) >= MATCH and sum(toxic[x] for x in holders[g] if x not in explained) >= 0.5 * a[g]:
             out.append(g)
             explained.update(holders[g])
     return out
@@ -121,7 +128,7 @@ class DictionaryPair:
         windows = dict.fromkeys(BOUND.join(words[i : i + WORDS]) for i in range(0, len(words), WORDS))
         out = np.empty(len(windows))
         for i, w in enumerate(windows):
-            data = f"{BOUND}{w}{BOUND}{TRAILER}".encode("utf-8", "surrogatepass")
+            data = packed(f"{BOUND}{w}{BOUND}{TRAILER}")
             out[i] = (len(b(data)) - len(a(data))) / (len(w) + 16)
         return out
 
@@ -143,22 +150,22 @@ class DictionaryPair:
             self.curve = np.array([0, 0, np.log(share / (1 - share))])
             return self
         names: dict[str, str] = {}  # each word once in memory
-        words = [[names.setdefault(w, w) for w in set(WORD.findall((t or "").lower()))] for t in texts]
+        words = [[names.setdefault(w, w) for w in WORD.findall((t or "").lower())] for t in texts]
         first = without_copies(words)
         n = [sum(y[i] == k for i in first) for k in (0, 1)]
-        plain, toxic = (Counter(x for i in first if y[i] == k for x in words[i]) for k in (0, 1))
+        plain, toxic = (Counter(x for i in first if y[i] == k for x in set(words[i])) for k in (0, 1))
         told, usual = telling(toxic, plain, n[1], n[0]), telling(plain, toxic, n[0], n[1])
         # a mark keeps a match from running into the next part; whole words have no boundary at their end, so that an ordinary
         # ending doesn't match; the last bytes of a dictionary are never matched, so zeros end it
         bounded = lambda g: (g.rstrip() if g[0] == g[-1] == " " else g).replace(" ", BOUND)
-        written = lambda parts: "".join(f"{bounded(g)}{chr(1 + i % 8)}" for i, g in enumerate(reversed(parts))).encode("utf-8", "surrogatepass")
+        written = lambda parts: packed("".join(f"{bounded(g)}{chr(1 + i % 8)}" for i, g in enumerate(reversed(parts))))
         own, other = written(told), written(usual)
         size = max(len(own), len(other))
         frequent = [x for x, _ in sorted(plain.items(), key=lambda z: (-z[1], z[0])) if not any(g in f" {x} " for g in told)]
-        shared = BOUND.join(["", *reversed(frequent[:1200]), ""]).encode("utf-8", "surrogatepass")[-SHARED_BYTES:]
+        shared = packed(BOUND.join(["", *reversed(frequent[:1200]), ""]))[-SHARED_BYTES:]
         self.toxic, self.plain = (bytes(ROOM) + TRAILER.encode() + shared + bytes(1 + size - len(part)) + part + bytes(16) for part in (own, other))
         self._made = None
-        d = np.concatenate([self.distances(texts[i]) for i in first if not y[i]] or [np.zeros(1)])
+        d = np.concatenate([np.zeros(1), *(self.distances(texts[i]) for i in first if not y[i])])
         self.center = float(np.quantile(d, 0.998))
         e = np.array([[*self.evidence(t), 1.0] for t in texts])
         w, ridge = np.zeros(3), np.array([0.05, 0.05, 0.01])
