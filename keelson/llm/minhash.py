@@ -200,15 +200,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
 
     likely = materialize(joined.mapInPandas(thin, "a long, b long, salts int, salt int"), "likely")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return materialize(docs.where("doc_id is not null").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # one pass over the texts for both comparisons below
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct()
+    texts = materialize(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def verify(rows: dict[str, list]) -> dict:
         x, y = shingle_sets(rows["x"], shingle_words), shingle_sets(rows["y"], shingle_words)
         ok = [i for i in range(len(x)) if _similar(x[i], y[i], percent)]
         return {"u": [rows["a"][i] for i in ok], "v": [rows["b"][i] for i in ok]}
 
-    sided = both(likely, texts_of(likely.select(F.explode(F.array("a", "b"))))).select("a", "b", "x", "y")
+    sided = both(likely, texts).select("a", "b", "x", "y")
     links = materialize(map_chunks(sided, verify, "u long, v long", size_by="x"), "verified")
 
     # what a large group's least doesn't link
@@ -217,7 +218,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     if apart.limit(1).count():
         counts = apart.groupBy("band", "key").agg(F.count("*").alias("n_rest"))
         members = large.select("band", "key", "rep", "c").join(counts.hint("shuffle_hash"), ["band", "key"]).join(apart, ["band", "key", "rep"], "left")
-        texts = texts_of(members.select("rep"))
         weighed = members.join(texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes")), "rep")
         total = weighed.groupBy("band", "key").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(F.col("rest"), F.col("bytes")).otherwise(0)).alias("rest_bytes"))
         cut = lambda size, count: F.greatest(F.ceil(F.col(size) / BLOCK_BYTES), F.ceil(F.col(count) / BLOCK_DOCS), F.lit(1)).cast("int")
