@@ -49,7 +49,7 @@ def between(text: Column, start: str, end: str) -> Column:
 
 
 def read_between(spark: SparkSession, url: str, start: str, end: str) -> DataFrame:
-    rows = spark.read.option("wholetext", "true").text(resolve(url))
+    rows = spark.read.text(resolve(url), wholetext=True)
     return rows.select(F.explode(between(F.col("value"), start, end)).alias("value"))
 
 
