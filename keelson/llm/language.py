@@ -1,17 +1,21 @@
 """Language identification by Bayesian fusion of text, declared markup, address suffix and host priors.
 
-1. Text: hashed character n-grams (1 to 3, lower-cased) under multinomial models, fitted on at most
-   `sample_docs` rows whose language is declared (smallest hashes of the id). A long text's evidence is
-   tempered to that of TEMPER n-grams, as neighbouring n-grams are not independent.
+1. Text: hashed character n-grams (1 to 3, lower-cased) under multinomial models, one for every declared language,
+   however rare, each fitted on at most max(LEAST_EACH, sample_docs / number of languages) of its rows with a letter (smallest
+   hashes of the id). Evidence is the likelihood over that of a background model: the sample's texts with their
+   characters shuffled, half mixed with the uniform distribution; language models are smoothed towards it, so grams a language
+   never showed count against it. A long text's evidence is tempered to that of TEMPER n-grams, as neighbouring n-grams are
+   not independent. A text that the background explains better than every language, by more than ERRORS standard errors
+   (of a letter's evidence in the sample), is in none of them. Texts of a few letters are thus seldom refused.
 2. Declared language: P(declared | language) from sums of text posteriors over all rows.
 3. Host priors: posteriors summed by host, by address suffix and overall; the host's prior shrinks towards
    its suffix's, and that towards the global one, by pseudo-counts. Sums are grouped aggregations
    with map-side combining; only slim rows (no texts) are shuffled, and the join back is salted so that a host
    with a third of all rows is spread over SALTS tasks.
-The posterior is their normalised product. A row is rejected when its text has no letter, its language is
-not accepted, or its posterior is below `least`.
+The posterior is their normalised product. A row is rejected when its text has no letter or is in no modelled language,
+its language is not accepted, or its posterior is below `least`.
 
-Edge cases: null or letterless texts get language "und", confidence 0 and kept false; a null declared language or
+Edge cases: null or letterless texts and those in no modelled language get language "und", confidence 0 and kept false; a null declared language or
 host adds no evidence; repeated rows are judged each; without any declared language in the sample every
 row is "und".
 """
@@ -24,12 +28,15 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelson.llm.common import codes_of, map_chunks, materialize, slices
-from keelson.llm.sampling import hashed_sample
 
 BUCKETS = 1 << 15
 TEMPER = 40.0
+SMOOTH = 0.2 * BUCKETS
+ERRORS = 2.0
+LEAST_EACH = 100
 SALTS = 16
 TOP = 0x3000
 
@@ -69,21 +76,40 @@ def gram_slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return slots, np.searchsorted(keep, offsets)
 
 
+def gram_counts(texts: list[str]) -> np.ndarray:
+    counts = np.zeros(BUCKETS)
+    for part in slices(texts):
+        counts += np.bincount(gram_slots(texts[part])[0].ravel(), minlength=BUCKETS)
+    return counts
+
+
+def shuffled(texts: list[str]) -> list[str]:
+    """Each text with its characters in another order, the same one at each call."""
+    rng = np.random.default_rng(1)
+    return [rng.permutation(codes_of([t])[0]).tobytes().decode("utf-32-le", "surrogatepass") for t in texts]
+
+
 class TextModel:
-    """Multinomial n-gram models of the languages found in the sample."""
+    """Multinomial n-gram models of the languages found in the sample, over a background model."""
 
     def __init__(self, texts: list[str], languages: list[str]):
         self.languages = sorted(set(languages))
-        counts = np.zeros((BUCKETS, max(1, len(self.languages))))
+        mixed = gram_counts(shuffled(texts))
+        ground = 0.5 * (mixed + 0.2) / (mixed.sum() + 0.2 * BUCKETS) + 0.5 / BUCKETS
+        self.logp = np.zeros((BUCKETS, max(1, len(self.languages))), np.float32)
+        self.deviation = np.zeros(self.logp.shape[1])
         for k, lang in enumerate(self.languages):
             own = [t for t, x in zip(texts, languages, strict=True) if x == lang]
+            counts = gram_counts(own)
+            self.logp[:, k] = np.log((counts + SMOOTH * ground) / (counts.sum() + SMOOTH) / ground)
+            n = total = squares = 0.0
             for part in slices(own):
-                slots, _ = gram_slots(own[part])
-                counts[:, k] += np.bincount(slots.ravel(), minlength=BUCKETS)
-        self.logp = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * BUCKETS)).astype(np.float32)
+                letter = self.logp[gram_slots(own[part])[0], k].sum(axis=1, dtype=np.float64)
+                n, total, squares = n + len(letter), total + letter.sum(), squares + (letter * letter).sum()
+            self.deviation[k] = max(0.0, squares / max(1.0, n) - (total / max(1.0, n)) ** 2) ** 0.5
 
     def loglik(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log-likelihoods (texts, languages) and letter counts."""
+        """Tempered log-likelihoods over the background's (texts, languages) and letter counts."""
         slots, at = gram_slots(texts)
         n = np.diff(at)
         out = np.empty((len(texts), self.logp.shape[1]))
@@ -93,6 +119,11 @@ class TextModel:
             out[:, k] = per[at[1:]] - per[at[:-1]]
         return out * (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None], n
 
+    def modelled(self, ll: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a text has letters and the background does not explain it better than every language."""
+        letter = ll / np.maximum(1, np.minimum(n, TEMPER))[:, None]
+        return (n > 0) & (letter + ERRORS * self.deviation / np.sqrt(np.maximum(n, 1))[:, None] >= 0).any(axis=1)
+
 
 HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
@@ -122,18 +153,22 @@ def suffix_of(host: Column) -> Column:
 def identify(rows: DataFrame, accepted: list[str] | None = None, least: float = 0.5, sample_docs: int = 2000, smooth: float = 20.0) -> DataFrame:
     """rows: id, text, declared, host (any but id and text may be null). Returns id, language, confidence, text_language, declared, kept."""
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string").alias("host"))
-    some = hashed_sample(rows.where("id is not null and declared <> ''").select("id", "declared").distinct(), "id", sample_docs)
-    told = rows.join(F.broadcast(some), ["id", "declared"]).groupBy("id", "declared").agg(F.min("text").alias("text")).collect()  # at most sample_docs rows
+    lettered = rows.where("id is not null and declared <> ''").where(F.col("text").rlike(r"\p{L}"))
+    ids = lettered.select("id", "declared").distinct()
+    often = ids.groupBy("declared").agg(F.count("*").alias("n"))
+    each, h = max(LEAST_EACH, sample_docs // max(1, often.count())), F.xxhash64("id")
+    # a first cut by the hash leaves about four times as many of each language, so no sort sees a whole one
+    cut = F.when(F.col("n") > 4 * each, -(1 << 63) + F.lit(float(1 << 64)) * 4 * each / F.col("n")).otherwise(F.lit(float(1 << 63)))
+    near = ids.join(F.broadcast(often), "declared").where(h <= cut)  # often: one row a language
+    some = near.withColumn("r", F.row_number().over(Window.partitionBy("declared").orderBy(h, "id"))).where(F.col("r") <= each).select("id", "declared")
+    told = lettered.join(F.broadcast(some), ["id", "declared"]).groupBy("id", "declared").agg(F.min("text").alias("text")).collect()  # at most `each` rows a language
     told.sort(key=lambda r: (r["id"], r["declared"]))
-    often = {}
-    for r in told:
-        often[r["declared"]] = often.get(r["declared"], 0) + 1
-    told = [r for r in told if often[r["declared"]] >= max(2, 0.005 * len(told))]
     model = TextModel([r["text"] for r in told], [r["declared"] for r in told])
     langs = model.languages
 
     def run(batch: dict[str, list]) -> dict:
         ll, n = model.loglik(batch["text"])
+        n = np.where(model.modelled(ll, n), n, 0)  # what is in no modelled language counts as letterless from here on
         return {"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "letters": n, "ll": ll.tolist()}
 
     if not langs:
@@ -160,16 +195,15 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least: float =
     suffixes = lettered.where("suffix is not null").groupBy(F.col("suffix").alias("sx")).agg(*[F.sum(F.get("text_post", F.lit(k))).alias(f"u{k}") for k in range(len(langs))])
     add = lambda p: sum((F.coalesce(F.col(f"{p}{k}"), F.lit(0.0)) for k in range(len(langs))), F.lit(0.0))
     priors = hosts.join(suffixes, hosts["suffix"] == suffixes["sx"], "left")
-    for k in range(len(langs)):
-        up = (F.coalesce(F.col(f"u{k}"), F.lit(0.0)) + smooth * float(world_prior[k])) / (add("u") + smooth)
-        priors = priors.withColumn(f"p{k}", F.ln((F.col(f"s{k}") + smooth * up) / (add("s") + smooth)))
-    priors = priors.select(F.col("host").alias("h"), F.array(*[f"p{k}" for k in range(len(langs))]).alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    priors = priors.withColumn("us", add("u")).withColumn("ss", add("s"))
+    up = [(F.coalesce(F.col(f"u{k}"), F.lit(0.0)) + smooth * float(world_prior[k])) / (F.col("us") + smooth) for k in range(len(langs))]
+    priors = priors.select(F.col("host").alias("h"), F.array(*[F.ln((F.col(f"s{k}") + smooth * u) / (F.col("ss") + smooth)) for k, u in enumerate(up)]).alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = named.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(priors, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
 
     world_log = F.array(*[F.lit(float(x)) for x in np.log(world_prior)])
-    told_log = F.when(F.col("known").isNull(), F.array(*[F.lit(0.0)] * len(langs)))
-    for g, row in zip(groups, told_given, strict=True):
-        told_log = told_log.when(F.col("known") == g, F.array(*[F.lit(float(x)) for x in row]))
+    told_rows = rows.sparkSession.createDataFrame([(g, row.tolist()) for g, row in zip(groups, told_given, strict=True)], "g string, told array<double>")
+    joined = joined.join(F.broadcast(told_rows), F.col("known") == F.col("g"), "left")  # one row a language
+    told_log = F.coalesce("told", F.array(*[F.lit(0.0)] * len(langs)))
     fused = joined.withColumn("f", F.zip_with(F.zip_with("ll", F.coalesce("prior", world_log), lambda a, b: a + b), told_log, lambda a, b: a + b))
     best = F.array_max("f")
     fused = fused.withColumn("confidence", F.when(F.col("letters") > 0, 1.0 / F.aggregate(F.transform("f", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0)))

@@ -73,3 +73,26 @@ def test_edges(spark):
     nothing = edge_docs(spark).selectExpr("doc_id", "text", "cast(null as string) lang", "source")
     assert all(r["language"] == "und" and not r["kept"] for r in L.identify_documents(nothing).collect())
     assert L.identify_documents(no_docs(spark)).count() == 0
+
+
+FOREIGN = [
+    "Rzeka i ogród są blisko starego mostu gdzie ludzie spacerują rano",
+    "Река и сад находятся рядом со старым мостом где люди гуляют утром",
+    "川と庭は古い橋の近くにあり人々は朝に歩きます",
+    "Joki ja puutarha ovat lähellä vanhaa siltaa jossa ihmiset kävelevät aamulla",
+    "Il fiume e il giardino sono vicini al vecchio ponte dove la gente cammina la mattina",
+]
+
+
+def test_texts_in_no_modelled_language_are_refused(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    added = spark.createDataFrame([(-1 - i, t, None, "src0") for i, t in enumerate(FOREIGN)], docs.schema)
+    got = L.identify_documents(docs.union(added)).where("doc_id < 0").collect()
+    assert len(got) == len(FOREIGN) and all((r["language"], r["text_language"], r["kept"], r["confidence"]) == ("und", "und", False, 0.0) for r in got)
+
+
+def test_rare_languages_get_a_model(spark):
+    made = [(i, (EN if i % 2 else DE) + f" {i}", "en" if i % 2 else "de", "x.org") for i in range(1200)]
+    made += [(2000 + i, f"{t} {i}", lang, "x.org") for lang, t in (("pl", FOREIGN[0]), ("ru", FOREIGN[1])) for i in range(1 if lang == "pl" else 3)]
+    got = L.identify_documents(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(made) and all(r["language"] == r["declared"] and r["kept"] for r in got)
