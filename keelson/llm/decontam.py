@@ -11,8 +11,9 @@ and all segments at or above the threshold are retrieved, without a limit. A ret
 around the passage: its question (all but the last words) must share `question` of its three-word shingles and its
 answer (the last words, at most 8) `answer` of its words.
 
-The index is broadcast in blocks of items of at most BLOCK_BYTES of text, one scan of documents for each block, so
-what is broadcast has a bound however large the benchmark is.
+The index is broadcast in blocks of items of about BLOCK_BYTES of text, one scan of documents for each block, so
+what is broadcast has a bound however large the benchmark is. Document frequencies, the number of segments and their mean
+length are aggregated over all items once, so that scores do not depend on the blocks.
 
 Edge cases: null or empty texts and items match nothing; items of one word have no pair and are not
 detected; repeated items are all reported; an empty benchmark leaves every document clean.
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import codes_of, map_chunks, mix, runs, span_hashes
+from keelson.llm.common import codes_of, map_chunks, materialize, mix, runs, span_hashes
 
 WINDOW, STEP, SEGMENT = 96, 48, 64
 BLOCK_BYTES = 8_000_000
@@ -68,33 +69,51 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def segments_of(w: np.ndarray) -> list[np.ndarray]:
+    """The segments of an item's words, none for items of one word."""
+    if len(w) < 2:
+        return []
+    size = -(-len(w) // -(-len(w) // SEGMENT))
+    return [w[s : s + size] if len(w) - s > 1 else w[-2:] for s in range(0, len(w), size)]
+
+
+def item_terms(batch: dict[str, list]) -> dict:
+    """For each item its segments, their words, and the distinct terms of each segment as signed numbers."""
+    words, at = word_hashes(batch["text"])
+    parts = [segments_of(words[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+    terms = [[t for w in p for t in np.unique(pairs_of(w)).view(np.int64).tolist()] for p in parts]
+    return {"item_id": batch["item_id"], "segments": [len(p) for p in parts], "words": [sum(len(w) for w in p) for p in parts], "terms": terms}
+
+
 class Index:
-    """Postings of one block of items, with the greatest impact of each run of POSTINGS."""
+    """Postings of one block of items, with the greatest impact of each run of POSTINGS.
+
+    totals: number of segments, their words, and frequencies of terms that other blocks hold too; those of `items` if not given.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str | None]], k1: float = 1.2, b: float = 0.75, totals: tuple[int, int, dict[int, int]] | None = None):
         items = sorted(items, key=lambda x: x[0])
         words, at = word_hashes([t for _, t in items])
         self.ids, self.words, segments = [], [], []
         for i, (item, _) in enumerate(items):
             w = words[at[i] : at[i + 1]]
             if len(w) > 1:
-                n = max(1, -(-len(w) // SEGMENT))
-                size = -(-len(w) // n)
-                for s in range(0, len(w), size):
-                    segments.append((len(self.ids), w[s : s + size] if len(w) - s > 1 else w[-2:]))
+                segments += [(len(self.ids), x) for x in segments_of(w)]
                 self.ids.append(item)
                 self.words.append(w)
         self.item_of = [s[0] for s in segments]
         counts = [dict(zip(*(x.tolist() for x in np.unique(pairs_of(w), return_counts=True)), strict=True)) for _, w in segments]
-        mean = max(1.0, sum(len(w) for _, w in segments) / max(1, len(segments)))
         df: dict[int, int] = {}
         for c in counts:
             for t in c:
                 df[t] = df.get(t, 0) + 1
+        every, length, shared = totals or (len(segments), sum(len(w) for _, w in segments), {})
+        df.update(shared)
+        mean = max(1.0, length / max(1, every))
         lists: dict[int, list[tuple[int, float]]] = {}
         for s, c in enumerate(counts):
             norm = k1 * (1 - b + b * len(segments[s][1]) / mean)
-            impact = {t: float(np.log1p((len(segments) - df[t] + 0.5) / (df[t] + 0.5))) * tf * (k1 + 1) / (tf + norm) for t, tf in c.items()}
+            impact = {t: float(np.log1p((every - df[t] + 0.5) / (df[t] + 0.5))) * tf * (k1 + 1) / (tf + norm) for t, tf in c.items()}
             whole = sum(impact.values())
             for t, x in impact.items():
                 lists.setdefault(t, []).append((s, x / whole))
@@ -214,10 +233,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.35, quest
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    made = materialize(map_chunks(items, item_terms, "item_id long, segments long, words long, terms array<long>"), "items")
+    whole = made.agg(F.sum("segments").alias("segments"), F.sum("words").alias("words")).first()
+    by_block = made.select(block_of.alias("block"), F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count("*").alias("n"))
+    by_term = by_block.groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("block").alias("at")).where(F.size("at") > 1)
+    shared = materialize(by_term.select(F.explode("at").alias("block"), "term", "df"), "frequencies")  # terms of several blocks
 
     def scan(rows_in: DataFrame, block: int, carried: bool) -> DataFrame:
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # one block
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
+        mine = items.where(block_of == block).collect()  # one block
+        common = shared.where(F.col("block") == block).toArrow()  # at most the terms of that block
+        df = dict(zip(common["term"].to_numpy().view(np.uint64).tolist(), common["df"].to_pylist(), strict=True))
+        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], totals=(whole["segments"] or 0, whole["words"] or 0, df)))
 
         def run(rows: dict[str, list]) -> dict:
             got = contaminated(index.value, rows["text"], threshold, question, answer)

@@ -118,6 +118,17 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert all(set(r["items"]) & whole == set(one[r["doc_id"]]) & whole and r["text"] == texts[r["doc_id"]] for r in more)
 
 
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    items, texts = cases()
+    items += [(100 + i, f"{'river stone garden window ' * 3}{text_of(random.Random(i), 6)}") for i in range(30)]  # terms that blocks share
+    texts += [" ".join(t.split()[:9]) for _, t in items[-30:]] + [t for _, t in items[-30:]]
+    docs, table = spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame([(i, t, 1, None) for i, t in items], ITEMS)
+    found = lambda: {r["doc_id"]: (r["items"], r["best_score"]) for r in D.find_leaks(docs, table).collect()}
+    one = found()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1500)
+    assert found() == one and any(x for x, _ in one.values())
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "two words", 0, None), (1, "two words", 0, None), (None, "word", 0, None), (3, None, 0, None)], ITEMS)
     got = D.find_leaks(edge_docs(spark), items).collect()
