@@ -20,13 +20,18 @@ def supersteps(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], ro
     return state
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed", most: int = 1000, seconds: float | None = None) -> DataFrame:
-    """step until no row has `changed`; step must set that boolean column. `seconds` bounds the wall clock."""
-    begun = time.monotonic()
-    for _ in range(most):
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed", most: int | None = None, seconds: float | None = None) -> DataFrame:
+    """step until no row has `changed`; step must set that boolean column.
+
+    Rounds have no bound unless asked for: a state not settled after `most` rounds raises. `seconds` of wall clock is the deadline of
+    the asynchronous loop: the state then is returned as it is, and its `changed` tells which rows are not settled.
+    """
+    begun, done = time.monotonic(), 0
+    while most is None or done < most:
         state = materialize(step(state), "fixpoint")
+        done += 1
         if state.where(F.col(changed)).limit(1).count() == 0:
-            break
+            return state
         if seconds is not None and time.monotonic() - begun > seconds:
-            break
-    return state
+            return state
+    raise RuntimeError(f"not settled after {most} rounds")

@@ -8,6 +8,7 @@ from keelson.functions import vectors as V
 from keelson.operators import graph, messaging, ml
 from keelson.operators.collection import Collection, Registry
 from keelson.operators.reduce import Aggregates, RunningAggregate
+from keelson.plans import supersteps
 from keelson.sources import files, sinks
 
 
@@ -167,6 +168,34 @@ def test_graphs(spark):
     assert graph.triangles(edges([])).first()[0] == 0
 
 
+class Rounds:
+    """Stands for a state that settles in round `last`."""
+
+    def __init__(self, n: int, last: int):
+        self.n, self.last = n, last
+        self.where = self.limit = lambda _: self
+
+    def count(self) -> int:
+        return int(self.n < self.last)
+
+
+def test_fixpoint_is_settled(spark, monkeypatch):
+    monkeypatch.setattr(supersteps, "materialize", lambda state, _: state)
+    step = lambda s: Rounds(s.n + 1, s.last)
+    assert supersteps.fixpoint(Rounds(0, 1500), step).n == 1500
+    assert supersteps.fixpoint(Rounds(0, 9), step, most=9).n == 9
+    with pytest.raises(RuntimeError, match="not settled"):
+        supersteps.fixpoint(Rounds(0, 9), step, most=8)
+    assert supersteps.fixpoint(Rounds(0, 9), step, seconds=0.0).n < 9
+
+
+def test_labels_of_a_path(spark):
+    path = spark.range(40).selectExpr("id AS src", "id + 1 AS dst")
+    both = path.union(path.select("dst", "src"))
+    got = graph.min_labels(both.select(F.col("src").alias("id")), both).collect()
+    assert len(got) == 41 and {r["label"] for r in got} == {0}
+
+
 def test_learning_errors(spark):
     rows = spark.createDataFrame([([1.0], 1.0)], "x array<double>, y double")
     for wrong in (ml.Regression(rate=0.0), ml.Regression(rate=0.1)):
