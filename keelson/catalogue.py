@@ -565,6 +565,12 @@ def g7_affinity(spark, sf):
     return cluster.affinity(points).withColumn("a", F.round("a", 6))
 
 
+@query(f"WITH {DENSE}, m AS (SELECT i, var_pop(v[i]) AS var FROM e, range(1, (SELECT max(len(v)) FROM e) + 1) r(i) GROUP BY i), w AS (SELECT list(var ORDER BY i) AS w FROM m) SELECT a.vec_id AS i, b.vec_id AS j, round(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE exp(-list_sum(list_transform(list_zip(a.v, b.v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / (2 * z[3])))) END, 6) AS a FROM e a, e b, w")
+def g7_affinity_whole(spark, sf):
+    # g7_affinity reads four dimensions, as its SQL does; this one reads all
+    return cluster.affinity(_dense(spark, sf).withColumnsRenamed({"vec_id": "id", "v": "x"})).withColumn("a", F.round("a", 6))
+
+
 def _pic_sql(rounds: int) -> str:
     out = "WITH x AS (SELECT s_suppkey AS i, s_nationkey AS k FROM supplier), m AS (SELECT p.i, q.i AS j, CASE WHEN p.i = q.i THEN 1.0 ELSE 1.0 / (1 + abs(p.k - q.k)) END AS a FROM x p, x q), s AS (SELECT i, sum(a) AS s FROM m GROUP BY i), v0 AS MATERIALIZED (SELECT i, s / (SELECT sum(s) FROM s) AS v FROM s)"
     for r in range(1, rounds + 1):
