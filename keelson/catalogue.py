@@ -484,6 +484,12 @@ def fn_strings(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.size(S.tokens(x)).alias("n"), S.lower_ascii(F.substring(x, 1, 40)).alias("low"), S.find_next(x, "the").alias("nxt"), S.find_last(x, ".").alias("lst"))
 
 
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents")
+def fn_strings_whole(spark, sf):
+    # fn_strings lowers 40 characters, as its SQL does; this one whole texts
+    return t(spark, sf, "documents").select("doc_id", S.lower_ascii(F.col("text")).alias("low"))
+
+
 @query("SELECT event_id, props ->> '$.k' AS k, length(props)::INTEGER AS n FROM events")
 def fn4_json(spark, sf):
     return t(spark, sf, "events").select("event_id", S.json_field(F.col("props"), "k").alias("k"), F.length("props").alias("n"))
