@@ -475,6 +475,14 @@ def agg13_labeled_points(spark, sf):
     return t(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first"))
 
 
+@query("WITH n AS (SELECT label, count(*)::BIGINT AS n FROM embeddings GROUP BY 1) SELECT label, any_value(n.n) AS n, (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 4) AS x FROM embeddings JOIN n USING (label), range(1, len(embedding) + 1) r(i) GROUP BY label, i")
+def agg13_labeled_points_whole(spark, sf):
+    # agg13_labeled_points sums one coordinate, as its SQL does; this one whole vectors
+    rows = t(spark, sf, "embeddings")
+    sums = messaging.sum_vectors(rows.select("label", F.col("embedding").cast("array<double>").alias("v")), "label", "v")
+    return sums.join(rows.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 4))
+
+
 # --- functions --------------------------------------------------------------------------------------
 
 
@@ -698,6 +706,15 @@ def m4_linear_scores(spark, sf):
     return spark.createDataFrame([(m.avg_error(rows), m.score(rows))], "error double, r2 double").select(F.round("error", 6).alias("error"), F.round("r2", 4).alias("r2"))
 
 
+@query("WITH d AS (SELECT l_extendedprice / 100000 AS y, 0.7 * (l_quantity / 50) - 0.2 * (l_discount * 10) + 0.1 AS f FROM lineitem) SELECT round(avg((y - f) * (y - f)), 6) AS error, round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 4) AS r2 FROM d")
+def m4_linear_scores_weighted(spark, sf):
+    # m4_linear_scores has weights of zero, as its SQL does
+    m = ml.LinearRegression(0.1)
+    m.w = [0.7, -0.2, 0.1]
+    rows = _lines(spark, sf, F.col("l_extendedprice") / 100000)
+    return spark.createDataFrame([(m.avg_error(rows), m.score(rows))], "error double, r2 double").select(F.round("error", 6).alias("error"), F.round("r2", 4).alias("r2"))
+
+
 @query("SELECT count(*)::BIGINT AS n, sum(CASE WHEN 0.5137 * (l_quantity / 50) - 0.0211 * (l_discount * 10) - 0.25033 > 0 THEN 1 ELSE 0 END)::BIGINT AS ones FROM lineitem")
 def m3_predict(spark, sf):
     m = ml.LogisticRegression(0.1)
