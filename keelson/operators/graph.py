@@ -2,53 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.plans.lineage import materialize
+from keelson.plans.lineage import discard, materialize
 from keelson.plans.supersteps import fixpoint, supersteps
 
 DAMPING, REST = 0.85, 0.15
 
 
-def _dealt(edges: DataFrame) -> DataFrame:
-    """Edges with their source's out-degree, kept dealt by source: rounds join them without moving them again."""
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    return materialize(edges.select("src", "dst").join(degree, "src"), "edges").repartition("src").persist()
+SPREAD = 100_000
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iters: int) -> DataFrame:
-    """id, pr after iters - 1 updates (the first round only sends). Not normalised, no redistribution from sinks; edges count as often as they stand.
+def _ranked(vertices: DataFrame, edges: DataFrame, iters: int, update: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """id, pr after iters - 1 rounds; `update` makes a new rank of the inbox's sum (null: no message), whether a listed vertex has out-edges, and the old rank.
 
-    vertices: id, those that exist at the start; destinations that do not are made on arrival. Doubles.
+    A source of many edges has them spread over salts, SPREAD to each, and its state is sent once to each, so that no task holds a hub.
+    Edges are dealt once and kept until the result has been written; rounds move states and sums only. Vertices that are not listed are
+    there from their first message on, with rank 0 before it.
     """
-    dealt = _dealt(edges)
+    degree = materialize(edges.groupBy("src").agg(F.count("*").alias("deg")).withColumn("salts", F.ceil(F.col("deg") / SPREAD).cast("int")), "degrees")
+    dealt = edges.select("src", "dst").join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst")
+    dealt = materialize(dealt, "edges").repartition("src", "salt").persist()
+    listed = vertices.select("id").distinct().withColumn("listed", F.lit(True))
+    start = listed.join(degree.withColumnRenamed("src", "id"), "id", "full").select("id", F.coalesce("listed", F.lit(False)).alias("listed"), "deg", "salts")
+    start = start.select("id", F.when(F.col("listed"), F.lit(REST)).otherwise(F.lit(0.0)).alias("pr"), F.col("listed").alias("there"), "listed", "deg", "salts")
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        sent = dealt.join(state, dealt["src"] == state["id"]).select(F.col("dst").alias("id"), (F.col("pr") / F.col("deg")).alias("m"))
-        inbox = sent.groupBy("id").agg(F.sum("m").alias("m"))
-        return state.join(inbox, "id", "full").select("id", (DAMPING * F.coalesce("m", F.lit(0.0)) + REST).alias("pr"))
+        out = state.where("there and deg > 0").select(F.col("id").alias("src"), (F.col("pr") / F.col("deg")).alias("sent"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        inbox = dealt.join(out, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum("sent").alias("m"))
+        got = state.join(inbox, "id", "full")
+        there = F.coalesce("there", F.lit(False)) | F.col("m").isNotNull()
+        sends = F.coalesce("listed", F.lit(False)) & (F.coalesce("deg", F.lit(0)) > 0)
+        pr = F.when(there, update(F.col("m"), sends, F.coalesce("pr", F.lit(0.0)))).otherwise(F.lit(0.0))
+        return got.select("id", pr.alias("pr"), there.alias("there"), F.coalesce("listed", F.lit(False)).alias("listed"), "deg", "salts")
+
+    done = materialize(supersteps(start, step, max(0, iters - 1)).where("there").select("id", "pr"), "ranks")
+    dealt.unpersist()
+    return done
 
-    return supersteps(vertices.select("id").distinct().withColumn("pr", F.lit(REST)), step, max(0, iters - 1))
+
+def pagerank(vertices: DataFrame, edges: DataFrame, iters: int) -> DataFrame:
+    """id, pr after iters - 1 updates (the first round only sends). Not normalised, no redistribution from sinks; edges count as often as they stand.
+
+    vertices: id, those that exist at the start; destinations that do not are made on arrival. Doubles.
+    """
+    return _ranked(vertices, edges, iters, lambda m, sends, pr: DAMPING * F.coalesce(m, F.lit(0.0)) + REST)
 
 
 def pagerank_attribute(vertices: DataFrame, edges: DataFrame, iters: int) -> DataFrame:
     """As pagerank, but vertices without out-edges are left alone: listed ones keep 0.15, those made on arrival 0."""
-    dealt = _dealt(edges)
-    outs = dealt.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    start = vertices.select("id").distinct().withColumn("pr", F.lit(REST)).join(outs, "id", "left")
+    return _ranked(vertices, edges, iters, lambda m, sends, pr: F.when(sends, DAMPING * F.coalesce(m, F.lit(0.0)) + REST).otherwise(pr))
 
-    def step(state: DataFrame, _: int) -> DataFrame:
-        sent = dealt.join(state, dealt["src"] == state["id"]).select(F.col("dst").alias("id"), (F.col("pr") / F.col("deg")).alias("m"))
-        inbox = sent.groupBy("id").agg(F.sum("m").alias("m"))
-        return state.join(inbox, "id", "full").select("id", F.when(F.col("out"), DAMPING * F.coalesce("m", F.lit(0.0)) + REST).otherwise(F.coalesce("pr", F.lit(0.0))).alias("pr"), "out")
 
-    return supersteps(start, step, max(0, iters - 1)).select("id", "pr")
+# --- components -------------------------------------------------------------------------------------
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Large star: link larger neighbours of u to the least of u and its neighbours; small star: the rest, and u."""
+    both = links.union(links.select(F.col("v"), F.col("u"))).toDF("u", "v") if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # the minima are written, so that both sides of the join are plain exchanges: Spark then splits a hub's links over tasks
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+    joined = both.join(low, "u")
+    out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v"))
+    made = materialize(out.where("u <> v").distinct(), "links")
+    discard(low)
+    return made
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(u, v) links, any direction, to (id, component) of every linked id; component is its least id.
+
+    Alternating large-star and small-star rounds, so rounds grow with the logarithm of a component's size and not with its longest path.
+    No task holds a component, links never reach the driver, and a round's tables are deleted once the next is written.
+    """
+    now = materialize(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "links")
+    mark = None
+    for _ in range(max_rounds):
+        half = _star(now, True)
+        after = _star(half, False)
+        discard(now, half)
+        now = after
+        # every link points from a larger id to a smaller; done when the smaller ones are roots and links no longer change
+        fresh = now.select(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+        if tuple(fresh) == mark:
+            break
+        mark = tuple(fresh)
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label: the least id of each vertex's component, edges taken in either direction; vertices without edges label themselves."""
+    every = vertices.select("id").union(edges.select("src")).union(edges.select("dst")).distinct()
+    found = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return every.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
 def min_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, label: the least label that reaches a vertex along out-edges; the component on symmetric graphs."""
-    links = materialize(edges.select("src", "dst").distinct(), "edges").repartition("src").persist()
+    """id, label: the least label that reaches a vertex along out-edges, one hop a round; on symmetric graphs connected_components is the faster way to the same.
+
+    Only vertices whose label has changed send, and both sides of the join are plain exchanges, so Spark splits a hub's links over tasks.
+    """
+    links = materialize(edges.select("src", "dst").distinct(), "edges")
     low = links.groupBy("src").agg(F.min("dst").alias("m")).withColumnRenamed("src", "id")
     every = vertices.select("id").union(links.select("dst")).distinct()
     start = every.join(low, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("label"), F.lit(True).alias("changed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.strings import lower_ascii, tokens
 from keelson.operators.collection import arg_max
+from keelson.plans.lineage import materialize
 
 TFIDF_SEPARATORS = " \t\n.,()'\":;!?<>"
 
@@ -27,8 +28,10 @@ def tf_idf(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, term, tf_idf with tf = count / total of the document and idf = ln(documents / documents with the term)."""
     docs = docs.select(F.col(id_col).alias("id"), F.transform(tokens(F.col(text), TFIDF_SEPARATORS), lower_ascii).alias("w"))
     n = docs.agg(F.count_distinct("id").alias("n"))
-    terms = docs.select("id", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("id", "term").agg((F.count("*") / F.max("total")).alias("tf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    # texts are split once; terms and their frequencies are written, so that both sides of the join are plain exchanges: Spark broadcasts
+    # frequencies that turn out small, and otherwise splits the commonest terms over tasks
+    terms = materialize(docs.select("id", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("id", "term").agg((F.count("*") / F.max("total")).alias("tf")), "terms")
+    df = materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     return terms.join(df, "term").join(F.broadcast(n)).select("id", "term", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("tf_idf"))  # n is one row
 
 
