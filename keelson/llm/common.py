@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.plans.lineage import fresh_path, materialize, shared_dir  # noqa: F401
+from keelson.plans.lineage import discard, fresh_path, materialize, shared_dir  # noqa: F401
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),

@@ -4,7 +4,7 @@
    each bucket: the least value of a random permutation of the set, kept as the count of its leading
    zeros (6 bits) and the 10 bits after the first one. A bucket has its own permutation, not a slice of the
    hash range, so that sets of a few shingles fill every register.
-2. Documents with equal sets form a class; only its representative (least doc_id) goes on.
+2. Rows with equal sets form a class, known by the set's digest; only one row of it, one with its least doc_id, goes on.
 3. Bands of 3 registers meet in groups. A pair with Jaccard similarity 0.8 or more misses all 32 bands
    with probability 1e-10. Groups of up to SMALL documents become pairs; in larger ones every document
    pairs with the group's least, so a group of near copies costs as many pairs as it has members. The
@@ -16,7 +16,9 @@
 5. Links become components by star contraction; classes and components join back to all documents.
 
 Edge cases: null or wordless texts have the empty set and link with nothing; a null doc_id keeps its row
-with component_id null and kept true; repeated doc_ids share one component; an empty table gives no rows.
+with component_id null and kept true; rows that share a doc_id are one document: whatever texts they hold, all of them link, and
+each of them gets its component; very long texts are compared on their whole sets; ties in similarity or in least members don't
+change components; further columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import CHUNK, ascii_lower, codes_of, is_space, map_chunks, materialize, mix, runs, span_hashes
-from keelson.llm.graph import components
+from keelson.llm.common import CHUNK, ascii_lower, codes_of, discard, is_space, map_chunks, materialize, mix, runs, span_hashes
+from keelson.operators.graph import components
 
 REGISTERS, ROWS, MANTISSA = 96, 3, 10
 SMALL, SPREAD = 8, 256
@@ -97,7 +99,7 @@ def floor_for(threshold: float) -> float:
 
 
 def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), registers, the keys of the bands."""
+    """doc_id, the text's hash, n_shingles, digest of the set (null if empty), registers, the keys of the bands."""
 
     def run(rows: dict[str, list]) -> dict:
         sets = shingle_sets(rows["text"], n)
@@ -113,9 +115,9 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
             for k in range(ROWS):
                 key = mix(key * np.uint64(1 << 17) + r[k::ROWS].astype(np.uint64))
             bands.append(key.view(np.int64).tolist())
-        return {"doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "registers": sketches, "bands": bands}
+        return {"doc_id": rows["doc_id"], "th": rows["th"], "n_shingles": [len(s) for s in sets], "digest": digests, "registers": sketches, "bands": bands}
 
-    return map_chunks(docs, run, "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
+    return map_chunks(docs.withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, n_shingles long, digest binary, registers binary, bands array<long>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -163,29 +165,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(sketch(docs, shingle_words), "sketch")
-    classes = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    sketches = materialize(
-        made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("n_shingles", "registers", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("rep", "s.*"),
-        "classes",
-    )
-    entries = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
-    grouped = entries.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("rep").alias("least")).where("c > 1")
-    met = materialize(entries.join(grouped.hint("shuffle_hash"), ["band", "key"]), "met")
-
-    # pairs of small groups, and of large ones each member with the least; b is the smaller id
-    listed = met.where(F.col("c") <= SMALL).groupBy("band", "key").agg(F.sort_array(F.collect_set("rep")).alias("ids"))
-    small = listed.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("p")).select("p.a", "p.b", F.lit(1).alias("salts"))
+    known = made.where("digest is not null and doc_id is not null")
+    one = F.min_by(F.struct("n_shingles", "registers", "bands", "th"), F.struct("doc_id", "th"))
+    sketches = materialize(known.groupBy(F.col("digest").alias("cls")).agg(F.min("doc_id").alias("rep"), one.alias("s")).select("cls", "rep", "s.*"), "classes")
+    entries = sketches.select("cls", "rep", F.posexplode("bands").alias("band", "key"))
+    # written first, so that both sides of the join are plain exchanges, whose hot groups Spark can split
+    grouped = materialize(entries.groupBy("band", "key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "cls")).alias("least")).where("c > 1").select("band", "key", "c", F.col("least.cls").alias("least")), "groups")
+    met = materialize(entries.join(grouped, ["band", "key"]), "met")
+
+    # pairs of small groups, and of large ones each member with the least; b is the one of smaller (rep, cls)
+    listed = met.where(F.col("c") <= SMALL).groupBy("band", "key").agg(F.sort_array(F.collect_set(F.struct("rep", "cls"))).alias("ids"))
+    small = listed.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(y["cls"].alias("a"), x["cls"].alias("b")))))).alias("p")).select("p.a", "p.b", F.lit(1).alias("salts"))
     large = met.where(F.col("c") > SMALL)
-    stars = large.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"), F.ceil(F.col("c") / SPREAD).cast("int").alias("salts"))
+    stars = large.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"), F.ceil(F.col("c") / SPREAD).cast("int").alias("salts"))
     pairs = small.union(stars).groupBy("a", "b").agg(F.max("salts").alias("salts"))
     pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")), "pairs")
 
     def both(rows: DataFrame, side: DataFrame) -> DataFrame:
-        """Pairs with what `side` (id, value) has of either; the b of many pairs is spread over salts."""
+        """Pairs with what `side` (class, value) has of either; the b of many pairs is spread over salts."""
         spread = rows.groupBy("b").agg(F.max("salts").alias("n")).select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
         return rows.join(side.toDF("a", "x"), "a").join(spread.join(side.toDF("b", "y"), "b"), ["b", "salt"])
 
-    slim = sketches.select("rep", F.struct("n_shingles", "registers"))
+    slim = sketches.select("cls", F.struct("n_shingles", "registers"))
     joined = both(pairs, slim).select("a", "b", "salts", "salt", F.col("x.n_shingles").alias("na"), F.col("x.registers").alias("ra"), F.col("y.n_shingles").alias("nb"), F.col("y.registers").alias("rb"))
     low = floor_for(percent / 100)
 
@@ -198,35 +199,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
                 ok = (estimate((x == y).sum(axis=1), na, nb) >= low) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 yield pdf.loc[ok, ["a", "b", "salts", "salt"]]
 
-    likely = materialize(joined.mapInPandas(thin, "a long, b long, salts int, salt int"), "likely")
+    likely = materialize(joined.mapInPandas(thin, "a binary, b binary, salts int, salt int"), "likely")
 
-    # one pass over the texts for both comparisons below
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct()
-    texts = materialize(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # one pass over the texts for both comparisons below; a class's text is that of its least doc_id with the hash it was sketched from
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).union(large.select("cls")).distinct().join(sketches.select("cls", F.col("rep").alias("doc_id"), "th"), "cls")
+    texts = docs.where("doc_id is not null").withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"])
+    texts = materialize(texts.select("cls", F.col("doc_id").alias("rep"), "text").dropDuplicates(["cls"]), "texts")
 
     def verify(rows: dict[str, list]) -> dict:
         x, y = shingle_sets(rows["x"], shingle_words), shingle_sets(rows["y"], shingle_words)
         ok = [i for i in range(len(x)) if _similar(x[i], y[i], percent)]
-        return {"u": [rows["a"][i] for i in ok], "v": [rows["b"][i] for i in ok]}
+        return {c: [rows[c][i] for i in ok] for c in ("a", "b", "u", "v")}
 
-    sided = both(likely, texts).select("a", "b", "x", "y")
-    links = materialize(map_chunks(sided, verify, "u long, v long", size_by="x"), "verified")
+    sided = both(likely, texts.select("cls", F.struct("text", "rep"))).select("a", "b", F.col("x.text").alias("x"), F.col("y.text").alias("y"), F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
+    verified = materialize(map_chunks(sided, verify, "a binary, b binary, u long, v long", size_by="x"), "verified")
+    links = verified.select("u", "v")
 
     # what a large group's least doesn't link
-    apart = large.where("rep <> least").join(links.toDF("rep", "least"), ["rep", "least"], "left_anti").select("band", "key", "rep", F.lit(True).alias("rest"))
+    apart = large.where("cls <> least").join(verified.select(F.col("a").alias("cls"), F.col("b").alias("least")), ["cls", "least"], "left_anti").select("band", "key", "cls", F.lit(True).alias("rest"))
     apart = materialize(apart, "rest")
     if apart.limit(1).count():
         counts = apart.groupBy("band", "key").agg(F.count("*").alias("n_rest"))
-        members = large.select("band", "key", "rep", "c").join(counts.hint("shuffle_hash"), ["band", "key"]).join(apart, ["band", "key", "rep"], "left")
-        weighed = members.join(texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes")), "rep")
+        members = large.select("band", "key", "cls", "c").join(counts.hint("shuffle_hash"), ["band", "key"]).join(apart, ["band", "key", "cls"], "left")
+        weighed = members.join(texts.select("cls", F.octet_length("text").alias("bytes")), "cls")
         total = weighed.groupBy("band", "key").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(F.col("rest"), F.col("bytes")).otherwise(0)).alias("rest_bytes"))
         cut = lambda size, count: F.greatest(F.ceil(F.col(size) / BLOCK_BYTES), F.ceil(F.col(count) / BLOCK_DOCS), F.lit(1)).cast("int")
-        keyed = members.join(total.hint("shuffle_hash"), ["band", "key"]).select("band", "key", "rep", F.coalesce("rest", F.lit(False)).alias("rest"), cut("rest_bytes", "n_rest").alias("nx"), cut("all_bytes", "c").alias("ny"))
-        at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        keyed = members.join(total.hint("shuffle_hash"), ["band", "key"]).select("band", "key", "cls", F.coalesce("rest", F.lit(False)).alias("rest"), cut("rest_bytes", "n_rest").alias("nx"), cut("all_bytes", "c").alias("ny"))
+        at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = keyed.where("rest").select("band", "key", "rep", "rest", F.lit(0).alias("side"), at("nx").alias("x"), every("ny").alias("y"))
-        right = keyed.select("band", "key", "rep", "rest", F.lit(1).alias("side"), every("nx").alias("x"), at("ny").alias("y"))
-        dealt = left.union(right).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(sketches.select("rep", "registers"), "rep")
+        left = keyed.where("rest").select("band", "key", "cls", "rest", F.lit(0).alias("side"), at("nx").alias("x"), every("ny").alias("y"))
+        right = keyed.select("band", "key", "cls", "rest", F.lit(1).alias("side"), every("nx").alias("x"), at("ny").alias("y"))
+        dealt = left.union(right).join(texts, "cls").join(sketches.select("cls", "registers"), "cls").drop("cls")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["side", "rep"])
@@ -234,10 +237,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
             return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
 
         links = links.union(dealt.groupBy("band", "key", "x", "y").applyInPandas(compare, "u long, v long"))
+
+    # a doc_id with several sets links the classes of all of them
+    several = made.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), (F.count("digest") < F.count("*")).alias("blank")).where("lo <> hi or (blank and lo is not null)").select("doc_id", F.lit(True).alias("several"))
+    several = materialize(several, "several")
+    classes = sketches.select(F.col("cls").alias("digest"), "rep")
+    links = links.union(made.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "rep"))
     found = components(links)
+    discard(grouped, met, pairs, likely, texts, verified, apart)  # the components no longer need them
 
-    member = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = member.join(found.toDF("rep", "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    member = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(several, "doc_id", "left")
+    member = member.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id")))
+    out = member.join(found.toDF("node", "component"), "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
