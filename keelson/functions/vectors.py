@@ -67,16 +67,38 @@ def to_sparse(v: Column) -> Column:
     return F.filter(F.transform(v, lambda x, i: F.struct(i.alias("fea"), x.alias("val"))), lambda e: e["val"] != 0)
 
 
-def _index(s: Column) -> Column:
-    """As a map; repeated features are added up first."""
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, even where lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _merged(s: Column) -> Column:
+    """Features once each; repeated ones are added up."""
     keys = F.array_distinct(F.transform(s, lambda e: e["fea"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(s, lambda e: e["fea"] == k), F.lit(0.0), lambda t, e: t + e["val"])))
+    added = F.transform(keys, lambda k: F.struct(k.alias("fea"), F.aggregate(F.filter(s, lambda e: e["fea"] == k), F.lit(0.0), lambda t, e: t + e["val"]).alias("val")))
+    return F.when(F.size(keys) == F.size(s), s).otherwise(added)
+
+
+def _side(s: Column, side: int) -> Column:
+    return F.transform(s, lambda e: F.struct(e["fea"].cast("int").alias("fea"), F.lit(side).alias("side"), e["val"].alias("val")))
+
+
+def _meet(a: Column, b: Column, body) -> Column:
+    """body(merged entries) of two sparse vectors sorted together by feature: equal features stand side by side, so one pass finds them."""
+    return _let(F.sort_array(F.concat(_side(a, 0), _side(b, 1))), body)
 
 
 def to_dense(s: Column, n: int | Column) -> Column:
     """Length n; repeated features are added up."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.get(F.transform(F.array(_index(s)), lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))), F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    zeros = F.transform(places, lambda i: F.struct(i.alias("fea"), F.lit(0.0).alias("val")))
+
+    def filled(j: Column) -> Column:
+        after = F.transform(j, lambda e, i: F.struct(e["side"].alias("side"), F.when(F.get(j, i + 1)["fea"] == e["fea"], F.get(j, i + 1)["val"]).otherwise(F.lit(0.0)).alias("val")))
+        return F.transform(F.filter(after, lambda e: e["side"] == 0), lambda e: e["val"])
+
+    return _meet(zeros, _merged(s), filled)
 
 
 def sparse_scale(s: Column, c: float | Column) -> Column:
@@ -105,8 +127,9 @@ def dense_sparse_dot(d: Column, s: Column) -> Column:
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Over features that both hold."""
-    return F.aggregate(a, F.lit(0.0), lambda t, e: t + F.aggregate(F.filter(b, lambda o: o["fea"] == e["fea"]), F.lit(0.0), lambda u, o: u + e["val"] * o["val"]))
+    """Over features that both hold, by a merge."""
+    product = lambda j: F.transform(j, lambda e, i: F.when(F.get(j, i + 1)["fea"] == e["fea"], e["val"] * F.get(j, i + 1)["val"]).otherwise(F.lit(0.0)))
+    return F.aggregate(_meet(_merged(a), _merged(b), product), F.lit(0.0), lambda t, x: t + x)
 
 
 def sparse_dot_with_intercept(p: Column, s: Column) -> Column:

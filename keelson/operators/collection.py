@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keelson.plans.lineage import materialize
+
 
 class Collection:
     """An immutable keyed collection; every operation returns a new one."""
@@ -34,9 +36,17 @@ class Collection:
     def delete_where(self, condition: Column) -> Collection:
         return self._with(self.rows.where(~F.coalesce(condition, F.lit(False))))
 
+    def execute(self, *columns: Column | str, where: Column | None = None) -> DataFrame:
+        """The columns of each object that `where` holds for: one pass over the collection, without a shuffle."""
+        return (self.rows if where is None else self.rows.where(where)).select(*columns)
+
+    def find_rows(self, key: Any) -> DataFrame:
+        """The rows of that key; the filter reaches the scan."""
+        return self.rows.where(F.col(self.key) == F.lit(key))
+
     def find(self, key: Any) -> Any | None:
         """One row of that key, or None."""
-        return next(iter(self.rows.where(F.col(self.key) == F.lit(key)).limit(1).collect()), None)
+        return next(iter(self.find_rows(key).limit(1).collect()), None)
 
     def size(self) -> int:
         return self.rows.count()
@@ -57,6 +67,7 @@ class Collection:
     def positions(self) -> DataFrame:
         """The position of each row in key order, from 0: ranks within range partitions plus their offsets, so no task sorts everything."""
         keyed = self.rows.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+        keyed = materialize(keyed, "positions")  # ranges come from a sample: what is counted and what is numbered must be one run of it
         counts = keyed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_low"))
         before = counts.select("_p", "_low", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before"))
         return keyed.join(F.broadcast(before), "_p").withColumn("position", F.col("_i") - F.col("_low") + F.col("_before")).drop("_p", "_i", "_low", "_before")  # one row a partition

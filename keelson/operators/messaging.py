@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from functools import lru_cache
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.collection import Registry
+from keelson.plans.lineage import discard, materialize
+from keelson.plans.supersteps import fixpoint
+
 COMBINERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "hash_sum": F.sum, "keep_one": F.min}
 
 
@@ -64,6 +69,74 @@ def migrate(rows: DataFrame, to: Column, partitions: int) -> DataFrame:
     return rows.withColumn("_to", to.cast("int")).repartitionById(partitions, F.col("_to")).drop("_to")
 
 
+def migrate_async(rows: DataFrame, to: Callable[[Column], Column], start: Column, partitions: int) -> DataFrame:
+    """Rows move on as soon as they arrive, until none wants to: the asynchronous loop, as a fixpoint of rounds.
+
+    `start` is a row's first place, `to` maps a place to the next one; a row that it maps to its own place stays. Returns the rows in their
+    last places, with `place` and the number of moves, `hops`.
+    """
+    state = rows.withColumn("place", start.cast("int")).withColumn("hops", F.lit(0)).withColumn("changed", F.lit(True))
+
+    def step(now: DataFrame) -> DataFrame:
+        nxt = to(F.col("place")).cast("int")
+        moves = nxt != F.col("place")
+        return now.withColumn("changed", moves).withColumn("hops", F.col("hops") + moves.cast("int")).withColumn("place", nxt)
+
+    return fixpoint(state, step).drop("changed").repartitionById(partitions, F.col("place"))
+
+
+# --- channels -------------------------------------------------------------------------------------
+
+
+class Channel:
+    """Messages of (dst, message) that wait between `send` and `flush`, and are visible from `flush` until the next one: manual stepping.
+
+    With a combiner each destination's messages become one; without, their bag.
+    """
+
+    def __init__(self, dst: str = "dst", message: str = "m", combiner: str | Callable[[Column], Column] | None = None):
+        self.dst, self.message, self.combiner = dst, message, combiner
+        self.waiting: list[DataFrame] = []
+        self.inbox: DataFrame | None = None
+
+    def send(self, messages: DataFrame) -> Channel:
+        self.waiting.append(messages.select(self.dst, self.message))
+        return self
+
+    def flush(self) -> Channel:
+        """Delivers what waits, in place of what was delivered before; the table is written, so later rounds don't send again."""
+        sent = reduce(DataFrame.union, self.waiting) if self.waiting else None
+        old, self.inbox, self.waiting = self.inbox, None, []
+        if sent is not None:
+            how = COMBINERS[self.combiner] if isinstance(self.combiner, str) else self.combiner or (lambda c: F.sort_array(F.collect_list(c)))
+            self.inbox = materialize(sent.groupBy(self.dst).agg(how(F.col(self.message)).alias(self.message)), "inbox")
+        if old is not None:
+            discard(old)
+        return self
+
+    def prepare(self, state: DataFrame, key: str, defaults: dict[str, object] | None = None) -> DataFrame:
+        """State with the messages that the last flush delivered, and has_msgs."""
+        if self.inbox is None:
+            return state.withColumn(self.message, F.lit(None)).withColumn("has_msgs", F.lit(False))
+        return deliver(state, key, self.inbox, self.dst, defaults)
+
+
+class ChannelStore(Registry):
+    """Channels by name, or by a number where no name is given. A name is taken once; getting or dropping an unknown one is an error."""
+
+    def __init__(self):
+        super().__init__("channel")
+
+    def push(self, name: str | None = None, dst: str = "dst", message: str = "m") -> str:
+        return self.create(Channel(dst, message), name)
+
+    def push_combined(self, combiner: str | Callable[[Column], Column], name: str | None = None, dst: str = "dst", message: str = "m") -> str:
+        return self.create(Channel(dst, message, combiner), name)
+
+    def broadcast(self, name: str | None = None, clear: bool = False) -> str:
+        return self.create(Dictionary(clear), name)
+
+
 # --- broadcast --------------------------------------------------------------------------------------
 
 BROADCAST_BYTES = 64 << 20
@@ -146,7 +219,8 @@ def balance(rows: DataFrame, partitions: int, planner: Callable[[dict[int, int]]
     """Rows evened out over partitions: round robin, or the moves of a planner."""
     if planner is None:
         return rows.repartition(partitions)
-    placed = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # written, so that the rows counted and the rows moved stand in the same places
+    placed = materialize(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "placed")
     low = {r["_p"]: (r["n"], r["low"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("low")).collect()}  # one row a partition
     sizes = {p: low.get(p, (0, 0))[0] for p in range(max(partitions, *low) if low else partitions)}
     target, taken = F.col("_p"), {p: 0 for p in sizes}
@@ -170,6 +244,18 @@ def jump_hash(key: int, buckets: int) -> int:
     return at
 
 
+def jump_hashes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """jump_hash of many keys at once; a key leaves the loop when its bucket is found."""
+    key, at, nxt = keys.astype(np.uint64).copy(), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    live = np.flatnonzero(nxt < buckets)
+    while len(live):
+        at[live] = nxt[live]
+        key[live] = key[live] * np.uint64(2862933555777941757) + np.uint64(1)
+        nxt[live] = ((at[live] + 1) * (float(1 << 31) / ((key[live] >> np.uint64(33)).astype(np.float64) + 1))).astype(np.int64)
+        live = live[nxt[live] < buckets]
+    return at
+
+
 class HashRing:
     """Workers by jump hash over a list in which a worker stands as often as its weight."""
 
@@ -191,12 +277,11 @@ class HashRing:
 
     def column(self, position: Column) -> Column:
         """The worker of each position, batch by batch."""
-        ring = list(self.entries)
+        ring = np.array(self.entries, np.int32)
 
         @F.pandas_udf("int")
         def place(s: pd.Series) -> pd.Series:
-            cached = lru_cache(maxsize=100_000)(lambda k: ring[jump_hash(k, len(ring))])
-            return s.map(lambda k: cached(int(k))).astype("int32")
+            return pd.Series(ring[jump_hashes(s.to_numpy(np.int64), len(ring))])
 
         return place(position)
 

@@ -1,4 +1,8 @@
-"""Learning: scalers, gradient descent, regressions, a linear SVM and a small network. Rows are (x array<double>, y double)."""
+"""Learning: scalers, gradient descent, regressions, a linear SVM and a small network.
+
+Rows are (x, y double) with x dense (array<double>) or sparse (array<struct<fea int, val double>>, fea from 0, repeated ones add up). The
+network and sgd take dense rows.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keelson.functions.vectors import divide_by, multiply_by
 
@@ -32,6 +37,33 @@ class Parameters:
         return " ".join(f"{v:.6g}" for v in self.values)
 
 
+#: Up to so many dense features, sums and products are unrolled, so that they compile to plain arithmetic; beyond it features become rows.
+UNROLLED = 64
+
+
+def is_sparse(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["x"].dataType.elementType, StructType)
+
+
+def feature_count(rows: DataFrame) -> int:
+    """The longest dense vector, or the largest sparse index plus one."""
+    n = F.array_max(F.transform("x", lambda e: e["fea"])) + 1 if is_sparse(rows) else F.size("x")
+    return rows.select(F.max(n)).first()[0] or 0
+
+
+def by_feature(rows: DataFrame, n: int, value: Callable[[Column], Column], fold: Callable[[Column], Column], *more: Column) -> tuple[list[float], list[float]]:
+    """fold of value(x_i) for each of n features, and the aggregates `more` over rows. The driver gets n numbers, the size of the model."""
+    if not is_sparse(rows) and n <= UNROLLED:
+        r = rows.agg(*(fold(value(F.get("x", F.lit(i)))).alias(f"s{i}") for i in range(n)), *(m.alias(f"m{k}") for k, m in enumerate(more))).first()
+        return [r[f"s{i}"] or 0.0 for i in range(n)], [r[f"m{k}"] or 0.0 for k in range(len(more))]
+    each = rows.select(F.explode("x").alias("e"), *(c for c in rows.columns if c != "x")).select(F.col("e.fea").alias("pos"), F.col("e.val").alias("v"), *(c for c in rows.columns if c != "x")) if is_sparse(rows) else rows.select(F.posexplode("x").alias("pos", "v"), *(c for c in rows.columns if c != "x"))
+    out = [0.0] * n
+    for r in each.groupBy("pos").agg(fold(value(F.col("v"))).alias("s")).collect():
+        out[r["pos"]] = r["s"] or 0.0
+    last = rows.agg(*(m.alias(f"m{k}") for k, m in enumerate(more))).first() if more else ()
+    return out, [x or 0.0 for x in last]
+
+
 class MaxAbsScaler:
     """Divides each feature, and the label, by its largest absolute value; all-zero ones stay."""
 
@@ -42,29 +74,37 @@ class MaxAbsScaler:
     def fit(self, *sets: DataFrame) -> MaxAbsScaler:
         n = None
         for rows in sets:
-            n = rows.select(F.max(F.size("x"))).first()[0] if n is None else n
-            r = rows.agg(*(F.max(F.abs(F.get("x", F.lit(i)))).alias(f"m{i}") for i in range(n)), F.max(F.abs("y")).alias("y")).first()
-            now = [r[f"m{i}"] or 0.0 for i in range(n)]
+            n = feature_count(rows) if n is None else n
+            now, (y,) = by_feature(rows, n, F.abs, F.max, F.max(F.abs("y")))
             self.x = [max(a, b) for a, b in zip(self.x, now, strict=True)] if self.x else now
-            self.y = max(self.y, r["y"] or 0.0)
+            self.y = max(self.y, y)
         return self
 
-    def _apply(self, rows: DataFrame, f: Callable[[Column, Column], Column], g: Callable[[Column], Column]) -> DataFrame:
+    def _apply(self, rows: DataFrame, f: Callable[[Column, Column], Column], one: Callable[[Column, Column], Column], y: Callable[[Column], Column]) -> DataFrame:
         by = F.array(*[F.lit(float(v)) for v in self.x])
-        return rows.withColumn("x", f(F.col("x"), by)).withColumn("y", g(F.col("y")) if self.y else F.col("y"))
+        if is_sparse(rows):
+            by = F.transform(by, lambda d: F.when(d != 0, d).otherwise(F.lit(1.0)))
+            x = F.transform("x", lambda e: F.struct(e["fea"].alias("fea"), one(e["val"], F.coalesce(F.get(by, e["fea"]), F.lit(1.0))).alias("val")))
+        else:
+            x = f(F.col("x"), by)
+        return rows.withColumn("x", x).withColumn("y", y(F.col("y")) if self.y else F.col("y"))
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self._apply(rows, divide_by, lambda y: y / self.y)
+        return self._apply(rows, divide_by, lambda v, d: v / d, lambda y: y / self.y)
 
     def inverse(self, rows: DataFrame) -> DataFrame:
-        return self._apply(rows, multiply_by, lambda y: y * self.y)
+        return self._apply(rows, multiply_by, lambda v, d: v * d, lambda y: y * self.y)
 
     def fit_transform(self, rows: DataFrame) -> DataFrame:
         return self.fit(rows).transform(rows)
 
 
-def linear(w: list[float]) -> Column:
-    """w . x + b with b last, unrolled so that it compiles to plain arithmetic."""
+def linear(w: list[float], sparse: bool = False) -> Column:
+    """w . x + b with b last."""
+    if sparse or len(w) - 1 > UNROLLED:
+        weights = F.array(*[F.lit(float(v)) for v in w[:-1]])  # folded to one constant
+        part = (lambda e: F.coalesce(F.get(weights, e["fea"]), F.lit(0.0)) * e["val"]) if sparse else None
+        return F.lit(float(w[-1])) + F.aggregate(F.transform("x", part) if sparse else F.zip_with("x", weights, lambda x, v: x * v), F.lit(0.0), lambda s, v: s + v)
     out = F.lit(float(w[-1]))
     for i, v in enumerate(w[:-1]):
         out = out + F.lit(float(v)) * F.get("x", F.lit(i))
@@ -75,11 +115,14 @@ class Regression:
     """Batch gradient descent: one aggregation a round.
 
     gradient(w) is the factor g of each row in the update w += rate / n * sum(g * [x, 1]); error(w) a row's error, predict(w)
-    its prediction. A function that is missing where it is needed is an error.
+    its prediction. A function that is missing where it is needed is an error. Whether rows are sparse is seen in training, or set.
     """
 
     def __init__(self, gradient: Callable | None = None, error: Callable | None = None, predict: Callable | None = None, rate: float = 0.1):
-        self.gradient, self.error, self.predict_column, self.rate, self.w, self.history = gradient, error, predict, rate, [], []
+        self.gradient, self.error, self.predict_column, self.rate, self.w, self.history, self.sparse = gradient, error, predict, rate, [], [], False
+
+    def linear(self, w: list[float]) -> Column:
+        return linear(w, self.sparse)
 
     def set_predict_func(self, f: Callable) -> None:
         self.predict_column = f
@@ -89,16 +132,15 @@ class Regression:
             raise ValueError("the learning rate is zero")
         if self.gradient is None:
             raise ValueError("no gradient function")
-        first = rows.select(F.max(F.size("x")), F.count("*")).first()
-        if not first[1]:
+        self.sparse, n = is_sparse(rows), rows.count()
+        if not n:
             raise ValueError("no training rows")
-        self.w = self.w or [0.0] * (first[0] + 1)
-        return first[1]
+        self.w = self.w or [0.0] * (feature_count(rows) + 1)
+        return n
 
     def _round(self, rows: DataFrame, n: int) -> None:
-        g = self.gradient(self.w)
-        sums = rows.select("x", g.alias("g")).agg(*(F.sum(F.col("g") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(self.w) - 1)), F.sum("g").alias("b")).first()
-        self.w = [w + self.rate / n * (s or 0.0) for w, s in zip(self.w, list(sums), strict=True)]
+        sums, bias = by_feature(rows.select("x", self.gradient(self.w).alias("g")), len(self.w) - 1, lambda v: F.col("g") * v, F.sum, F.sum("g"))
+        self.w = [w + self.rate / n * s for w, s in zip(self.w, [*sums, *bias], strict=True)]
 
     def train(self, rows: DataFrame, rounds: int) -> Regression:
         n = self._start(rows)
@@ -132,7 +174,7 @@ class Regression:
 
 class LinearRegression(Regression):
     def __init__(self, rate: float = 0.1):
-        super().__init__(lambda w: F.col("y") - linear(w), lambda w: F.pow(F.col("y") - linear(w), F.lit(2.0)), linear, rate)
+        super().__init__(lambda w: F.col("y") - self.linear(w), lambda w: F.pow(F.col("y") - self.linear(w), F.lit(2.0)), self.linear, rate)
 
     def score(self, rows: DataFrame) -> float:
         """The coefficient of determination."""
@@ -144,37 +186,42 @@ class LogisticRegression(Regression):
     """Labels 0 and 1; predicts 1 where w . x + b > 0; the error is the share of wrong predictions."""
 
     def __init__(self, rate: float = 0.1):
-        says = lambda w: (linear(w) > 0).cast("double")
-        super().__init__(lambda w: F.col("y") - 1 / (1 + F.exp(-linear(w))), lambda w: (says(w) != F.col("y")).cast("double"), says, rate)
+        says = lambda w: (self.linear(w) > 0).cast("double")
+        super().__init__(lambda w: F.col("y") - 1 / (1 + F.exp(-self.linear(w))), lambda w: (says(w) != F.col("y")).cast("double"), says, rate)
 
 
 class SVM:
-    """Pegasos-style linear SVM; labels are -1 and 1."""
+    """Pegasos-style linear SVM; labels are -1 and 1.
+
+    A round first shrinks all parameters to the ball of radius 1 / sqrt(lam); margins, and the norm in the loss, are those of the shrunk
+    ones. The bias is not shrunk for good.
+    """
 
     def __init__(self, lam: float = 0.01):
-        self.lam, self.w, self.b, self.losses = lam, [], 0.0, []
+        self.lam, self.w, self.b, self.losses, self.sparse = lam, [], 0.0, [], False
 
     def train(self, rows: DataFrame, rounds: int) -> SVM:
-        first = rows.select(F.max(F.size("x")), F.count("*"), F.max(F.when(F.abs("y") == 1, 0).otherwise(1))).first()
-        if not first[1] or first[2]:
+        n, bad = rows.select(F.count("*"), F.max(F.when(F.abs("y") == 1, 0).otherwise(1))).first()
+        if not n or bad:
             raise ValueError("labels must be -1 and 1")
-        k, n = first[0], first[1]
-        self.w = self.w or [0.0] * k
+        self.sparse = is_sparse(rows)
+        self.w = self.w or [0.0] * feature_count(rows)
         for i in range(rounds):
             norm = sum(v * v for v in self.w)
             shrink = min(1.0, 1 / math.sqrt(norm * self.lam)) if norm else 1.0
-            margin = F.col("y") * linear([*self.w, self.b])
+            w, norm = [v * shrink for v in self.w], 1 / self.lam if shrink < 1 else norm
+            margin = F.col("y") * linear([*w, self.b * shrink], self.sparse)
             near = rows.select("x", "y", margin.alias("m"), (margin < 1).cast("double").alias("in"))
-            s = near.agg(*(F.sum(F.col("in") * F.col("y") * F.get("x", F.lit(j))).alias(f"s{j}") for j in range(k)), F.sum(F.col("in") * F.col("y")).alias("y"), F.sum(F.greatest(F.lit(0.0), 1 - F.col("m"))).alias("hinge")).first()
+            sums, (bias, hinge) = by_feature(near, len(w), lambda v: F.col("in") * F.col("y") * v, F.sum, F.sum(F.col("in") * F.col("y")), F.sum(F.greatest(F.lit(0.0), 1 - F.col("m"))))
             eta = 1 / (i + 1)
-            self.losses.append(self.lam / 2 * norm + s["hinge"] / n)
-            self.w = [w * shrink * (1 - eta) + eta / (n * self.lam) * s[f"s{j}"] for j, w in enumerate(self.w)]
-            self.b += eta / n * s["y"]
+            self.losses.append(self.lam / 2 * norm + hinge / n)
+            self.w = [v * (1 - eta) + eta / (n * self.lam) * g for v, g in zip(w, sums, strict=True)]
+            self.b += eta / n * bias
         return self
 
     def error(self, rows: DataFrame) -> float:
         """The share of rows on the wrong side; zero counts as right."""
-        return rows.agg(F.avg((F.col("y") * linear([*self.w, self.b]) < 0).cast("double"))).first()[0]
+        return rows.agg(F.avg((F.col("y") * linear([*self.w, self.b], is_sparse(rows)) < 0).cast("double"))).first()[0]
 
 
 def sgd(rows: DataFrame, w: list[float], rate: float, gradient: Callable[[np.ndarray, np.ndarray, float], np.ndarray], rounds: int = 1) -> list[float]:
@@ -231,13 +278,14 @@ class Network:
             layers = [(w.copy(), b.copy()) for w, b in self.layers]
 
             def run(batches, layers=layers, epoch=epoch):
-                frames = [p for p in batches if len(p)]
-                n = sum(map(len, frames))
-                if n:
-                    x, y = np.concatenate([np.stack(p["x"]) for p in frames]), np.concatenate([p["y"].to_numpy() for p in frames]).astype(int)
-                    want = np.eye(classes)[y]
-                    order = np.random.default_rng(seed + epoch).permutation(n)
-                    for s in range(0, n, batch):
+                n = 0
+                for k_frame, p in enumerate(batches):  # a frame at a time, so no task holds its whole partition
+                    if not len(p):
+                        continue
+                    x, want = np.stack(p["x"]), np.eye(classes)[p["y"].to_numpy().astype(int)]
+                    order = np.random.default_rng([seed + epoch, k_frame]).permutation(len(p))
+                    n += len(p)
+                    for s in range(0, len(p), batch):
                         at = order[s : s + batch]
                         act = Network._run(layers, x[at])
                         delta = (act[-1] - want[at]) * act[-1] * (1 - act[-1])

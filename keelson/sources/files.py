@@ -36,8 +36,12 @@ def read_chunks(spark: SparkSession, url: str, size: int) -> DataFrame:
 
 
 def read_separated(spark: SparkSession, url: str, separator: str) -> DataFrame:
-    """Text between occurrences of a separator, which splits as it does lines; a leading one gives no record."""
-    return spark.read.option("lineSep", separator).text(resolve(url)).where(F.length("value") > 0)
+    """Text between occurrences of a separator, at which files split over tasks. A separator that begins a file gives no record, nor does one that ends it; two in a row hold an empty record."""
+    rows = spark.read.option("lineSep", separator).text(resolve(url))
+    rows = rows.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    first = rows.where("_b = 0").groupBy("_f").agg(F.min("_i").alias("_i")).withColumn("_first", F.lit(True))  # a row for each file
+    kept = rows.join(first, ["_f", "_i"], "left").where("_first is null or length(value) > 0")
+    return kept.select("value")
 
 
 def between(text: Column, start: str, end: str) -> Column:
@@ -72,7 +76,7 @@ def parse_libsvm(lines: DataFrame, column: str = "value") -> DataFrame:
     words = tokens(F.col(column), " \t")
     entry = lambda w: F.struct((leading_int(F.split(w, ":")[0]) - 1).cast("int").alias("fea"), leading_double(F.split(w, ":")[1]).alias("val"))
     rows = lines.select(words.alias("w")).where(F.size("w") > 0)
-    return rows.select(leading_double(F.col("w")[0]).alias("label"), F.transform(F.slice("w", 2, 1_000_000), entry).alias("features"))
+    return rows.select(leading_double(F.col("w")[0]).alias("label"), F.transform(F.slice("w", 2, F.size("w")), entry).alias("features"))
 
 
 def feature_count(sparse: DataFrame, features: str = "features") -> int:
@@ -107,7 +111,7 @@ def load_points(spark: SparkSession, url: str, kind: str) -> DataFrame:
 def parse_adjacency(lines: DataFrame, separators: str = " \t", column: str = "value") -> DataFrame:
     """src n d1 d2 ... to id, adj; the count is not used."""
     rows = lines.select(tokens(F.col(column), separators).alias("w")).where(F.size("w") > 0)
-    return rows.select(leading_int(F.col("w")[0]).alias("id"), F.transform(F.slice("w", 3, 100_000_000), leading_int).alias("adj"))
+    return rows.select(leading_int(F.col("w")[0]).alias("id"), F.transform(F.slice("w", 3, F.size("w")), leading_int).alias("adj"))
 
 
 def edges_of(vertices: DataFrame) -> DataFrame:
@@ -142,9 +146,9 @@ for _name, _reader in (("lines", read_lines), ("chunks", read_chunks), ("separat
     FORMATS.create(_reader, _name)
 
 
-def load(rows: DataFrame, parse: Column | None = None, where: Column | None = None, explode: Column | None = None, name: str = "value") -> DataFrame:
-    """Scan then parse: keep rows `where`, one output row for each element of `explode`, or the columns of `parse`."""
+def load(rows: DataFrame, parse: Column | None = None, where: Column | None = None, explode: Column | None = None, name: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Scan then parse: keep rows `where`, one output row for each element of `explode`, or the columns of `parse`, beside the columns `keep`."""
     rows = rows if where is None else rows.where(where)
     if explode is not None:
-        return rows.select(F.explode(explode).alias(name))
-    return rows if parse is None else rows.select(parse.alias(name))
+        return rows.select(*(keep or []), F.explode(explode).alias(name))
+    return rows if parse is None else rows.select(*(keep or []), parse.alias(name))

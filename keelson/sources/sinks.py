@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from keelson.sources.files import resolve
 
@@ -52,7 +52,9 @@ class DocumentWriter:
             self.waiting = []
 
 
-def log_rows(rows: DataFrame, most: int = 20) -> None:
-    """The first rows, to the log."""
-    for r in rows.take(most):
+def log_rows(rows: DataFrame, most: int = 20) -> list[Row]:
+    """The first rows, to the log; returns what was logged."""
+    shown = rows.take(most)
+    for r in shown:
         log.info("%s", r)
+    return shown

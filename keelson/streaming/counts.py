@@ -15,6 +15,11 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, kind: str =
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def drain(stream: DataFrame, path: str) -> None:
+    """All that has arrived by now, each row once, to path; the files of a batch that runs again are not read twice."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(stream.sparkSession, "stream")).trigger(availableNow=True).start().awaitTermination()
+
+
 def batch_counts(stream: DataFrame, key: str, path: str) -> None:
     """Counts of each micro-batch by itself, appended to path as (batch_id, key, cnt); stateless. A batch run again replaces its own folder."""
 
