@@ -16,7 +16,7 @@ from keelson.functions import vectors as V
 from keelson.operators import cluster, graph, messaging, ml, text
 from keelson.operators.collection import Collection, Registry, arg_max, top_k
 from keelson.operators.reduce import Aggregates, RunningAggregate, monoid
-from keelson.plans.lineage import fresh_path
+from keelson.plans.lineage import fresh_path, materialize
 from keelson.sources import files, sinks
 from keelson.streaming import counts
 
@@ -118,7 +118,37 @@ def src5_binary_files(spark, sf):
 
 @query("SELECT count(*)::BIGINT AS n FROM orders")
 def src6_block_scan(spark, sf):
-    return t(spark, sf, "orders").select("o_orderkey").agg(F.count("*").alias("n"))
+    path = scratch(t(spark, sf, "orders").select(F.col("o_orderkey").cast("string")), "blocks")
+    return files.read_lines(spark, f"nfs://{path.removeprefix('file://')}" if path.startswith("file:/") else path).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS value FROM supplier")
+def src7_hadoop_blocks(spark, sf):
+    # a folder of a Hadoop file system is its direct files, each split into blocks
+    return files.read_lines(spark, scratch(t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string")).repartition(3), "hadoop"))
+
+
+@query("SELECT * FROM (VALUES ('nfs:///a/b', 'file:///a/b'), ('hdfs://n/a', 'hdfs://n/a'), ('file:///a', 'file:///a'), ('/a', '/a'), ('ftp://a', 'unknown scheme: ftp://a')) v(url, resolved)")
+def src8_schemes(spark, sf):
+    def says(url):
+        try:
+            return files.resolve(url)
+        except ValueError as e:
+            return str(e)
+
+    return spark.createDataFrame([(u, says(u)) for u in ("nfs:///a/b", "hdfs://n/a", "file:///a", "/a", "ftp://a")], "url string, resolved string")
+
+
+@query("SELECT event_id, event_type FROM events")
+def src10_event_stream(spark, sf):
+    path = fresh_path(spark, "drained")
+    counts.drain(_events(spark, sf), path)
+    return spark.read.parquet(path).select("event_id", "event_type")
+
+
+@query("SELECT r_name AS value FROM region WHERE r_name <> ''")
+def src11_format_registry(spark, sf):
+    return files.FORMATS.get("lines")(spark, scratch(t(spark, sf, "region").select("r_name"), "registry"))
 
 
 @query("SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events")
@@ -160,8 +190,7 @@ def src15_images(spark, sf):
 
 @query(r"SELECT conv_id, unnest(list_filter(string_split_regex(text, '[ \t]+'), lambda x: x <> '')) AS value FROM conversations WHERE role = 'user'")
 def src16_load(spark, sf):
-    rows = t(spark, sf, "conversations").where("role = 'user'")
-    return rows.select("conv_id", F.explode(S.tokens(F.col("text"))).alias("value"))
+    return files.load(t(spark, sf, "conversations"), where=F.col("role") == "user", explode=S.tokens(F.col("text")), keep=["conv_id"])
 
 
 @query("SELECT r_name AS value, 2::BIGINT AS n FROM region")
@@ -186,12 +215,18 @@ def snk3_collection_store(spark, sf):
     return Collection.read(spark, path, "o_orderkey").rows.select("o_orderkey", "o_custkey")
 
 
+@query("SELECT r_regionkey, r_name FROM region")
+def snk4_log(spark, sf):
+    rows = t(spark, sf, "region")
+    return spark.createDataFrame(sinks.log_rows(rows.select("r_regionkey", "r_name")), "r_regionkey int, r_name string")
+
+
 # --- collections ------------------------------------------------------------------------------------
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 1000")
 def prj1_execute(spark, sf):
-    return t(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"))
+    return Collection(t(spark, sf, "orders"), "o_orderkey").execute("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"), where=F.col("o_totalprice") > 1000)
 
 
 @query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -223,7 +258,7 @@ def prj5_delete(spark, sf):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
 def prj6_find(spark, sf):
-    return t(spark, sf, "nation").where("n_nationkey = 7").select("n_nationkey", "n_name").limit(1)
+    return Collection(t(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey").find_rows(7)
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
@@ -321,7 +356,7 @@ def ch4_dedupe(spark, sf):
 
 @query("SELECT o_custkey AS dst, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def ch5_run_length_combine(spark, sf):
-    return t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("dst")).agg(F.count("*").alias("n"))
+    return messaging.combine(t(spark, sf, "orders").select(F.col("o_custkey").alias("dst"), F.lit(1).cast("long").alias("n")), "dst", {"n": "sum"})
 
 
 @query("SELECT label, (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 4) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
@@ -390,7 +425,40 @@ def _region_labels(spark, sf):
 
 @query("SELECT count(*)::BIGINT AS n, sum(o_totalprice > 1000)::BIGINT AS large FROM orders")
 def ch18_aggregator_channel(spark, sf):
-    return t(spark, sf, "orders").agg(F.count("*").alias("n"), F.sum((F.col("o_totalprice") > 1000).cast("long")).alias("large"))
+    rows, n, large = t(spark, sf, "orders"), RunningAggregate(0), RunningAggregate(0)
+    n.update(rows, F.lit(1))
+    large.update(rows, (F.col("o_totalprice") > 1000).cast("long"))
+    Aggregates(n, large).sync()
+    return spark.createDataFrame([(n.get(), large.get())], "n long, large long")
+
+
+@query("SELECT * FROM (VALUES (0, 1, 4), (2, 3, 4), (0, 2, 1), (1, 3, 1)) v(src, dst, n)")
+def ch11_local_first(spark, sf):
+    # workers 0 and 1 are one process, 2 and 3 another; the mean is 5
+    return spark.createDataFrame(messaging.balance_local_first({0: 10, 1: 2, 2: 8, 3: 0}, {0: 0, 1: 0, 2: 1, 3: 1}), "src int, dst int, n int")
+
+
+@query("SELECT c_custkey, 0 AS place, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS hops FROM customer")
+def ch14_async_migrate(spark, sf):
+    # each customer is handed on to half its place until it is at 0
+    return messaging.migrate_async(t(spark, sf, "customer").select("c_custkey"), lambda place: F.floor(place / 2), F.col("c_custkey") % 4, 4)
+
+
+@query("SELECT o_custkey AS dst, sum(o_orderkey)::BIGINT AS m FROM orders GROUP BY 1")
+def ch16_channel_store(spark, sf):
+    store = messaging.ChannelStore()
+    store.push_combined("sum", "totals")
+    return store.get("totals").send(t(spark, sf, "orders").select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("m"))).flush().inbox
+
+
+@query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS m FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
+def ch20_manual_stepping(spark, sf):
+    # two steps: what the second flush delivers takes the place of the first's
+    channel, orders = messaging.Channel(combiner="sum"), t(spark, sf, "orders")
+    one = lambda rows: rows.select(F.col("o_custkey").alias("dst"), F.lit(1).cast("long").alias("m"))
+    channel.send(one(orders)).flush()
+    channel.send(one(orders.where("o_orderstatus = 'F' and o_orderkey % 2 = 0"))).send(one(orders.where("o_orderstatus = 'F' and o_orderkey % 2 <> 0"))).flush()
+    return channel.prepare(t(spark, sf, "customer").select("c_custkey"), "c_custkey", {"m": 0}).where("c_custkey is not null").select("c_custkey", "m")
 
 
 RING = [0, 0, 4, 4, 2, 5, 3, 0, 5, 3, 3, 3, 2, 0, 0, 5, 3, 5, 5, 5]
@@ -457,17 +525,21 @@ def agg7_monoid(spark, sf):
 
 @query("SELECT l_returnflag, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS total, round(max(l_extendedprice), 2) AS most, round(sum(l_discount) / count(*), 6) AS mean FROM lineitem GROUP BY 1")
 def agg8_basic(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.max("l_extendedprice"), 2).alias("most"), F.round(F.sum("l_discount") / F.count("*"), 6).alias("mean"))
+    sent = t(spark, sf, "lineitem").select("l_returnflag", F.lit(1).cast("long").alias("n"), F.col("l_quantity").alias("total"), F.col("l_extendedprice").alias("most"), F.col("l_discount").alias("mean"))
+    got = messaging.combine(sent, "l_returnflag", {"n": "sum", "total": "sum", "most": "max", "mean": F.avg})
+    return got.select("l_returnflag", "n", F.round("total", 2).alias("total"), F.round("most", 2).alias("most"), F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 4) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
 def agg9_element_sum(spark, sf):
-    return t(spark, sf, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).groupBy("pos").agg(F.round(F.sum("v"), 4).alias("x"))
+    sums = messaging.sum_vectors(t(spark, sf, "embeddings").select(F.lit(0).alias("dst"), F.col("embedding").cast("array<double>").alias("v")), "dst", "v")
+    return sums.select(F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 4))
 
 
 @query("SELECT (i - 1)::INTEGER AS pos, round(max(abs(embedding[i]::DOUBLE)), 6) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL")
 def agg10_max_abs(spark, sf):
-    return t(spark, sf, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).groupBy("pos").agg(F.round(F.max(F.abs("v")), 6).alias("x"))
+    most = ml.MaxAbsScaler().fit(t(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), F.lit(0.0).alias("y"))).x
+    return spark.createDataFrame(list(enumerate(most)), "pos int, x double").withColumn("x", F.round("x", 6))
 
 
 @query("SELECT label, count(*)::BIGINT AS n, round(sum(embedding[1]::DOUBLE), 4) AS first FROM embeddings GROUP BY 1")
@@ -600,15 +672,13 @@ def g3_connected_components_whole(spark, sf):
 def _supplier_labels(spark, sf):
     s, n = t(spark, sf, "supplier"), t(spark, sf, "nation")
     up = s.select((100 + F.col("s_suppkey")).alias("src"), (30 + F.col("s_nationkey")).cast("long").alias("dst")).union(n.select((30 + F.col("n_nationkey")).cast("long"), F.col("n_regionkey").cast("long")))
-    edges = up.union(up.select("dst", "src"))
-    return graph.min_labels(edges.select(F.col("src").alias("id")), edges)
+    return graph.connected_components(up.select(F.col("src").alias("id")), up)
 
 
 @query("WITH RECURSIVE e AS (SELECT n_regionkey::BIGINT AS a, 100 + n_nationkey::BIGINT AS b FROM nation), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM x UNION SELECT x.b, r.c FROM r JOIN x ON x.a = r.id) SELECT id, min(c) AS label FROM r GROUP BY id")
 def g4_components_attribute(spark, sf):
     n = t(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (100 + F.col("n_nationkey")).cast("long").alias("dst"))
-    edges = n.union(n.select("dst", "src"))
-    return graph.min_labels(edges.select(F.col("src").alias("id")), edges)
+    return graph.connected_components(n.select(F.col("src").alias("id")), n)
 
 
 @query("WITH e AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) SELECT count(*)::BIGINT AS n_triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
@@ -682,14 +752,17 @@ def m5_logistic(spark, sf):
     return _weights(spark, ml.LogisticRegression(0.1).train(_lines(spark, sf, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)), 3).w)
 
 
-def _svm_sql(rounds: int, lam: float = 0.01) -> str:
+def _svm_sql(rounds: int, lam: float = 0.01, losses: bool = False) -> str:
     out = "WITH d AS MATERIALIZED (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS y FROM lineitem), w0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS c)"
     for i in range(1, rounds + 1):
         eta = 1 / i
-        near = "CASE WHEN y * (p * a + q * b + c) < 1 THEN 1.0 ELSE 0.0 END"
-        shrink = f"CASE WHEN any_value(p * p + q * q) > 0 THEN least(1.0, 1 / sqrt(any_value(p * p + q * q) * {lam})) ELSE 1.0 END * {1 - eta!r}"
-        out += f", w{i} AS MATERIALIZED (SELECT any_value(p) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * a) AS p, any_value(q) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * b) AS q, any_value(c) + {eta!r} / count(*) * sum({near} * y) AS c FROM d, w{i - 1})"
-    return out + f" SELECT round(p, 6) AS w0, round(q, 6) AS w1, round(c, 6) AS b FROM w{rounds}"
+        # margins, and the norm in the loss, are those of the shrunk parameters
+        ball = f"CASE WHEN p * p + q * q > 0 THEN least(1.0, 1 / sqrt((p * p + q * q) * {lam})) ELSE 1.0 END"
+        near = f"CASE WHEN y * r * (p * a + q * b + c) < 1 THEN 1.0 ELSE 0.0 END"
+        shrink = f"any_value(r) * {1 - eta!r}"
+        loss = f"{lam} / 2 * any_value(CASE WHEN r < 1 THEN 1 / {lam} ELSE p * p + q * q END) + avg(greatest(0, 1 - y * r * (p * a + q * b + c)))"
+        out += f", w{i} AS MATERIALIZED (SELECT any_value(p) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * a) AS p, any_value(q) * {shrink} + {eta!r} / (count(*) * {lam}) * sum({near} * y * b) AS q, any_value(c) + {eta!r} / count(*) * sum({near} * y) AS c, {loss} AS loss FROM d, (SELECT *, {ball} AS r FROM w{i - 1}))"
+    return out + f" SELECT round(p, 6) AS w0, round(q, 6) AS w1, round(c, 6) AS b{', round(loss, 6) AS loss' if losses else ''} FROM w{rounds}"
 
 
 @query(_svm_sql(3))
@@ -698,6 +771,25 @@ def m8_svm(spark, sf):
     return _weights(spark, [*m.w, m.b])
 
 
+def _libsvm(spark, sf, y):
+    """The rows of _lines by way of a LIBSVM file: sparse, the number of features from the data."""
+    digits = lambda c: c.cast("string")
+    line = F.concat_ws(" ", digits(y), F.concat(F.lit("1:"), digits(F.col("l_quantity") / 50)), F.concat(F.lit("2:"), digits(F.col("l_discount") * 10)))
+    rows, _ = files.read_libsvm(spark, scratch(t(spark, sf, "lineitem").select(line), "libsvm"))
+    return materialize(rows.select(F.col("features").alias("x"), F.col("label").alias("y")), "points")
+
+
+@query(_svm_sql(3, losses=True))
+def m8_svm_libsvm(spark, sf):
+    m = ml.SVM(0.01).train(_libsvm(spark, sf, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0)), 3)
+    return spark.createDataFrame([(m.w[0], m.w[1], m.b, m.losses[-1])], "w0 double, w1 double, b double, loss double").select(*(F.round(c, 6).alias(c) for c in ("w0", "w1", "b", "loss")))
+
+
+@query(_fgd_sql(3, "(y - {f})", "l_extendedprice / 100000"))
+def m1_fgd_libsvm(spark, sf):
+    return _weights(spark, ml.LinearRegression(0.1).train(_libsvm(spark, sf, F.col("l_extendedprice") / 100000), 3).w)
+
+
 @query("WITH d AS (SELECT l_extendedprice / 100000 AS y FROM lineitem) SELECT round(avg(y * y), 6) AS error, round(1 - sum(y * y) / (var_pop(y) * count(*)), 4) AS r2 FROM d")
 def m4_linear_scores(spark, sf):
     m = ml.LinearRegression(0.1)
