@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
 Edge cases: rows without a doc_id go with language ID, as nothing could refer to them; null and letterless texts are
-rejected there too; rows that share a doc_id are copies of one document, of which near-duplicate removal keeps the row with
-the least text; null lang, source and n_chars pass through; empty tables give no rows; further columns of documents are left out.
+rejected there too, each row by itself, so a rejected row doesn't return with another of its doc_id; rows that share a doc_id are
+one document, of which near-duplicate removal keeps the row with the least text (of equal texts the least lang, source and n_chars); ties
+are decided by the least doc_id; very long texts pass every stage whole; null source and n_chars pass through; empty tables give no rows;
+further columns of documents are left out.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with the language found."""
-    found = language.identify_documents(docs).where("kept").groupBy("doc_id").agg(F.min("language").alias("found"))
-    kept = docs.select(*COLUMNS).join(found, "doc_id")
-    return kept.withColumn("lang", F.col("found")).select(*COLUMNS)
+    found = language.identify_documents(docs, carry=["text", "source", "n_chars"]).where("kept and doc_id is not null")
+    return found.select("doc_id", "text", F.col("language").alias("lang"), "source", F.col("n_chars").cast("long").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
