@@ -10,14 +10,15 @@
 2. Declared language: P(declared | language) from sums of text posteriors over all rows.
 3. Host priors: posteriors summed by host, by address suffix and overall; the host's prior shrinks towards
    its suffix's, and that towards the global one, by pseudo-counts. Sums are grouped aggregations
-   with map-side combining; only slim rows (no texts) are shuffled, and the join back is salted so that a host
-   with a third of all rows is spread over SALTS tasks.
+   with map-side combining; priors are written, so that both sides of the join back are plain exchanges: Spark broadcasts
+   priors that turn out small, and otherwise splits a host with a third of all rows over tasks.
 The posterior is their normalised product. A row is rejected when its text has no letter or is in no modelled language,
 its language is not accepted, or its posterior is below `least`.
 
 Edge cases: null or letterless texts and those in no modelled language get language "und", confidence 0 and kept false; a null declared language or
-host adds no evidence; repeated rows are judged each; without any declared language in the sample every
-row is "und".
+host adds no evidence; repeated rows are judged each, by their own text; very long texts are read whole and their evidence tempered
+like any other's; of languages equally likely the first by name is taken; further columns are not read; an empty table gives no rows;
+without any declared language in the sample every row is "und".
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ TEMPER = 40.0
 SMOOTH = 0.2 * BUCKETS
 ERRORS = 2.0
 LEAST_EACH = 100
-SALTS = 16
 TOP = 0x3000
 
 
@@ -150,9 +150,13 @@ def suffix_of(host: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
-def identify(rows: DataFrame, accepted: list[str] | None = None, least: float = 0.5, sample_docs: int = 2000, smooth: float = 20.0) -> DataFrame:
-    """rows: id, text, declared, host (any but id and text may be null). Returns id, language, confidence, text_language, declared, kept."""
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string").alias("host"))
+def identify(rows: DataFrame, accepted: list[str] | None = None, least: float = 0.5, sample_docs: int = 2000, smooth: float = 20.0, carry: list[str] | None = None) -> DataFrame:
+    """rows: id, text, declared, host (any but id and text may be null). Returns id, language, confidence, text_language, declared, kept.
+
+    `carry` passes string columns on, row by row, so that nothing has to be joined back by an id that may be repeated.
+    """
+    passed = {f"c_{c}": c for c in carry or []}
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string").alias("host"), *(F.col(c).cast("string").alias(k) for k, c in passed.items() if c != "text"))
     lettered = rows.where("id is not null and declared <> ''").where(F.col("text").rlike(r"\p{L}"))
     ids = lettered.select("id", "declared").distinct()
     often = ids.groupBy("declared").agg(F.count("*").alias("n"))
@@ -169,11 +173,12 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least: float =
     def run(batch: dict[str, list]) -> dict:
         ll, n = model.loglik(batch["text"])
         n = np.where(model.modelled(ll, n), n, 0)  # what is in no modelled language counts as letterless from here on
-        return {"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "letters": n, "ll": ll.tolist()}
+        return {"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "letters": n, "ll": ll.tolist()} | {k: batch[k] if c != "text" else batch[c] for k, c in passed.items()}
 
+    handed = [F.col(k).alias(c) for k, c in passed.items()]
     if not langs:
-        return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), "declared", F.lit(False).alias("kept"))
-    slim = materialize(map_chunks(rows, run, "id long, declared string, host string, letters long, ll array<double>"), "language")
+        return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), "declared", F.lit(False).alias("kept"), *handed)
+    slim = materialize(map_chunks(rows, run, "id long, declared string, host string, letters long, ll array<double>" + "".join(f", {k} string" for k in passed)), "language")
     top = F.array_max("ll")
     soft = F.transform("ll", lambda x: F.exp(x - top))
     total = F.aggregate(soft, F.lit(0.0), lambda a, x: a + x)
@@ -197,8 +202,8 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least: float =
     priors = hosts.join(suffixes, hosts["suffix"] == suffixes["sx"], "left")
     priors = priors.withColumn("us", add("u")).withColumn("ss", add("s"))
     up = [(F.coalesce(F.col(f"u{k}"), F.lit(0.0)) + smooth * float(world_prior[k])) / (F.col("us") + smooth) for k in range(len(langs))]
-    priors = priors.select(F.col("host").alias("h"), F.array(*[F.ln((F.col(f"s{k}") + smooth * u) / (F.col("ss") + smooth)) for k, u in enumerate(up)]).alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = named.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(priors, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
+    priors = priors.select(F.col("host").alias("h"), F.array(*[F.ln((F.col(f"s{k}") + smooth * u) / (F.col("ss") + smooth)) for k, u in enumerate(up)]).alias("prior"))
+    joined = named.join(materialize(priors, "priors"), F.col("host") == F.col("h"), "left")
 
     world_log = F.array(*[F.lit(float(x)) for x in np.log(world_prior)])
     told_rows = rows.sparkSession.createDataFrame([(g, row.tolist()) for g, row in zip(groups, told_given, strict=True)], "g string, told array<double>")
@@ -209,13 +214,15 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least: float =
     fused = fused.withColumn("confidence", F.when(F.col("letters") > 0, 1.0 / F.aggregate(F.transform("f", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0)))
     names = F.array(*[F.lit(x) for x in langs])
     label = lambda c: F.when(F.col("letters") > 0, F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))).otherwise(F.lit("und"))
-    out = fused.select("id", label("f").alias("language"), F.round("confidence", 6).alias("confidence"), label("ll").alias("text_language"), "declared")
-    return out.withColumn("kept", (F.col("language") != "und") & F.col("language").isin(accepted or langs) & (F.col("confidence") >= least))
+    out = fused.select("id", label("f").alias("language"), F.round("confidence", 6).alias("confidence"), label("ll").alias("text_language"), "declared", *passed)
+    kept = (F.col("language") != "und") & F.col("language").isin(accepted or langs) & (F.col("confidence") >= least)
+    return out.select(*[c for c in out.columns if c not in passed], kept.alias("kept"), *handed)
 
 
 def identify_documents(docs: DataFrame, **options) -> DataFrame:
     """documents: the declared language is `lang`, the host `source`."""
-    return identify(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")), **options).withColumnRenamed("id", "doc_id")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), *(c for c in options.get("carry", []) if c != "text"))
+    return identify(rows, **options).withColumnRenamed("id", "doc_id")
 
 
 def identify_pages(pages: DataFrame, **options) -> DataFrame:

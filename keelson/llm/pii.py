@@ -5,13 +5,14 @@ patterns miss: phones without a plus sign, spelled-out addresses, keys and token
 numpy, from labelled spans that a seeded generator writes, so training needs no table and is the same on
 every cluster.
 
-A span of the model must hold a digit, an @ or a spelled-out (at); windows of WINDOW characters, half
-overlapping, are therefore decoded wherever such a character stands, and skipping the others loses
-nothing. Spans cut by a window's edge give way to the overlapping window that holds them whole, or
+What the operator adds is by definition a span that holds a digit, an @ or a spelled-out (at), and has the least its kind has
+(`plausible`): passwords of letters alone, names and postal addresses are not looked for. Windows of WINDOW characters, half
+overlapping, are therefore decoded wherever such a character stands; another window cannot hold such a span. Spans cut by a window's edge give way to the overlapping window that holds them whole, or
 are joined with their other half; the remaining candidates of a text are reconciled together by
 weighted interval scheduling. Spans that touch a base span are dropped: base spans stay.
 
-Edge cases: null text counts as empty (no spans, digest of ""); repeated rows are scanned each; an empty
+Edge cases: null text counts as empty (no spans, digest of ""); repeated rows are scanned each; very long texts are scanned whole,
+their windows in blocks; of candidates with equal sums the later one stays out; further columns are left out unless carried; an empty
 table gives no rows. Positions are code points, ends exclusive.
 """
 
@@ -394,20 +395,36 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def base_columns(base: list[list[tuple[int, int, str]]]) -> dict[str, list]:
+    """The contract's columns of the base spans."""
+    out = {f"n_{k}": [sum(s[2] == k for s in b) for b in base] for k in BASE_KINDS}
+    return out | {"base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]}
+
+
+def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, counts and digest of base spans, without the model."""
+
+    def run(rows: dict[str, list]) -> dict:
+        return {"id": rows["id"]} | base_columns([base_spans(t or "") for t in rows["text"]])
+
+    got = map_chunks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string")
+    return got.withColumnRenamed("id", id_col)
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, redact: bool = False) -> DataFrame:
-    """Per row: id, counts and digest of base spans, all spans; redact adds the text without them, `carry` passes string columns on."""
+    """Per row: id, counts and digest of base spans, all spans and how many they are; redact adds the text without them, `carry` passes string columns on."""
     tagger, carry = trained(), carry or []
 
     def run(rows: dict[str, list]) -> dict:
         texts = [t or "" for t in rows["text"]]
         base = [base_spans(t) for t in texts]
         every = [sorted(b + m, key=lambda s: (s[0], ORDER[s[2]])) for b, m in zip(base, tag_texts(tagger, texts, base), strict=True)]
-        out = {"id": rows["id"]} | {f"n_{k}": [sum(s[2] == k for s in b) for b in base] for k in BASE_KINDS}
-        out |= {"base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], "spans": [joined(s) for s in every], "n_added": [len(s) - len(b) for s, b in zip(every, base, strict=True)]}
+        out = {"id": rows["id"]} | base_columns(base)
+        out |= {"spans": [joined(s) for s in every], "n_added": [len(s) - len(b) for s, b in zip(every, base, strict=True)], "n_spans": [len(s) for s in every]}
         if redact:
             out["clean"] = [None if rows["text"][i] is None else redacted(t, every[i]) for i, t in enumerate(texts)]
         return out | {f"c_{c}": rows[f"c_{c}"] for c in carry}
 
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long" + ", clean string" * redact + "".join(f", c_{c} string" for c in carry)
+    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long" + ", clean string" * redact + "".join(f", c_{c} string" for c in carry)
     got = map_chunks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("string").alias(f"c_{c}") for c in carry)), run, schema)
     return got.select(F.col("id").alias(id_col), *(c for c in got.columns if c != "id" and not c.startswith("c_")), *(F.col(f"c_{c}").alias(c) for c in carry))

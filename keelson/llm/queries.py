@@ -30,6 +30,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express: what the patterns alone find."""
+    return pii.find_base(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.score_quality(table(spark, sf_dir, "documents"), labels)
@@ -57,6 +62,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.learn(docs, train))
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express: the counts and the base rule."""
+    return rules.apply_rules(table(spark, sf_dir, "documents"), []).drop("kept", "rule")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
@@ -72,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_quality, op4_sharding, op5_decontamination, op6_near_duplicates, op7_warc, op8_rules, op9_toxicity, op10_bpe, language_id_pages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_quality, op4_sharding, op5_decontamination, op6_near_duplicates, op7_warc, op8_rules, op9_toxicity, op10_bpe, language_id_pages, pii_base, rules_base, pipeline)}
 
 ORACLES = {
     "op6_near_duplicates": r"""
@@ -103,4 +113,34 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM d JOIN m USING (x)""",
+    "pii_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (
+    SELECT doc_id, 0 AS o, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+    UNION ALL SELECT doc_id, 1, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+    UNION ALL SELECT doc_id, 2, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d
+    UNION ALL SELECT doc_id, 3, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+s AS (SELECT doc_id, o, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+x AS (
+    SELECT doc_id, o, kind, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+        (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS a FROM s),
+good AS (
+    SELECT doc_id, o, kind, a, a + length(v) AS b FROM x WHERE CASE kind WHEN 'email' THEN true
+        WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda y: length(ltrim(y, '0')) <= 3 AND coalesce(try_cast(ltrim(y, '0') AS INTEGER), 0) <= 255))
+        WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN substr(digits, length(digits) - j, 1)::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + substr(digits, length(digits) - j, 1)::INTEGER] END)) % 10 = 0
+        ELSE length(digits) BETWEEN 9 AND 15 END)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+    sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '')) AS base_sha256
+FROM d LEFT JOIN good USING (doc_id) GROUP BY d.doc_id""",
+    "rules_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+n AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'i': i, 'k': ws[i] || chr(31) || ws[i + 1] || chr(31) || ws[i + 2]})) AS e FROM w WHERE len(ws) >= 3),
+h AS (SELECT doc_id, e.i AS i, count(*) OVER (PARTITION BY doc_id, e.k) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id)
+SELECT n.doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed
+FROM n LEFT JOIN r ON r.doc_id = n.doc_id""",
 }

@@ -87,3 +87,19 @@ def test_edges(spark):
     assert by[4]["component_id"] == 3 and by[6]["component_id"] == 5 and not by[6]["kept"]
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert minhash.near_duplicates(no_docs(spark)).count() == 0
+
+
+def test_repeated_ids_link_all_their_texts(spark):
+    rng = random.Random(9)
+    x, y = text_of(rng, 60), text_of(rng, 60)
+    made = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (4, text_of(rng, 60)), (1, ""), (5, y)]
+    for order in (1, -1):
+        docs = spark.createDataFrame(made[::order], "doc_id long, text string")
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = text_of(rng, 40_000).split()
+    check(spark, [" ".join(long), " ".join(edited(rng, long, 0.02)), " ".join(edited(rng, long, 0.3)), "a b c"], 2)

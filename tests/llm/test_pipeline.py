@@ -61,8 +61,21 @@ def test_stages_on_edges(spark, tmp_path):
                 assert len(ids) == len(set(ids)) and None not in ids
 
 
+def test_rejected_rows_don_t_return_with_another_of_their_id(spark, tmp_path):
+    """A null and a letterless row share a doc_id with a good one: the good text stays, in either order."""
+    made(spark, tmp_path)
+    good = text_of(random.Random(3), 40)
+    for order in (1, -1):
+        extra = [(500, None, "en", "h.uk", 0), (500, good, "en", "h.uk", len(good)), (500, "123", "en", "h.uk", 3)][::order]
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        docs = docs.union(spark.createDataFrame(extra, docs.schema))
+        docs = C.identify_language(spark, docs, str(tmp_path))
+        assert [r["text"] for r in docs.where("doc_id = 500").collect()] == [good]
+        assert [r["text"] for r in C.drop_near_duplicates(spark, docs, str(tmp_path)).where("doc_id = 500").collect()] == [good]
+
+
 def test_queries_and_oracles(spark):
-    assert {f"op{i}" for i in range(1, 11)} | {"language", "pipeline"} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{i}" for i in range(1, 11)} | {"language", "pipeline", "pii", "rules"} == {q.split("_")[0] for q in QUERIES}
     for name, sql in ORACLES.items():
         assert spark_rows(QUERIES[name](spark, SF)) == oracle_rows(sql), name
     assert SCHEMA and rows
