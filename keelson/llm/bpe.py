@@ -11,7 +11,8 @@ library's own normaliser and splitter, so that its Unicode tables decide. Specia
 the raw text first, as in the library.
 
 Edge cases: null text counts as empty (0 tokens, decodes to ""); the digest columns of empty texts are
-the SHA-256 of nothing; repeated rows are encoded each; an empty table gives an empty result.
+the SHA-256 of nothing; repeated rows are encoded each; very long words are encoded whole, by the tree; of equal ranks the leftmost
+pair merges first; further columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

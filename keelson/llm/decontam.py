@@ -16,7 +16,9 @@ what is broadcast has a bound however large the benchmark is. Document frequenci
 length are aggregated over all items once, so that scores do not depend on the blocks.
 
 Edge cases: null or empty texts and items match nothing; items of one word have no pair and are not
-detected; repeated items are all reported; an empty benchmark leaves every document clean.
+detected; repeated items, and items of equal scores, are all reported; very long texts are queried in all their passages, very long items
+indexed in segments; repeated rows are judged each; further columns are left out unless carried; an empty table gives no rows, and an
+empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations

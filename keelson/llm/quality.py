@@ -9,9 +9,9 @@ documents turns that into a probability.
 The fit reads at most `sample_docs` labelled documents (the smallest hashes of doc_id), of them whole
 texts; every document is scored on its whole text.
 
-Edge cases: null, empty and wordless texts score as the training rows' share of label 1 among wordless
-texts, by the same curve at raw value 0; null labels are not learned from; with no labels at all every score
-is 0.5, with one class it is that class's smoothed share. Repeated rows score alike.
+Edge cases: null, empty and wordless texts score by the same curve at raw value 0; very long texts score by all their lines; texts of
+equal marginals score alike, as do repeated rows; null labels are not learned from; with no labels at all every score
+is 0.5, with one class it is that class's smoothed share; further columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ fit (the smallest hashes of doc_id, whatever the table's size); rules then apply
 
 Edge cases: null text has no words; a text without words fails the base rule; repeated rows are judged
 each; null labels are not learned from; without labels, or with one class only, the list is empty and
-keeps what passes the base rule. Columns other than id, text and labels are ignored.
+keeps what passes the base rule; very long texts are counted whole; of conditions with equal gain the first by statistic and bin is
+taken. Columns other than id, text and labels are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Hot keys: a key with more than `hot_share` of all rows is spread: rows of it are
 so no shard gets a whole hot key. There are at most 1 / hot_share of them.
 
 Edge cases: null keys are placed by the spread column (or slot of the empty key if there is none); repeated
-rows go to one place; an empty table gives no rows; fewer than one shard or a size that is not prime raise.
+rows go to one place; shards with equal preferences take their turns in the order given; keys of any length are hashed whole; further
+columns are left out; an empty table gives no rows; fewer than one shard or a size that is not prime raise.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Files go to the shared folder through pyarrow's file systems, under names of the
 packages named in the manifest of finished tasks are read.
 
 Edge cases: null html is an empty payload; rows with null page_id are responses, without an identifier that
-others could refer to; repeated page_ids with equal payloads are all responses; an empty table writes no package.
+others could refer to; repeated page_ids with equal payloads are all responses; very long payloads are members of their own size, past
+4 GB by ZIP64; further columns are left out; an empty table writes no package.
 """
 
 from __future__ import annotations
