@@ -6,6 +6,7 @@ both sides, as sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,7 +120,7 @@ def src5_binary_files(spark, sf):
 @query("SELECT count(*)::BIGINT AS n FROM orders")
 def src6_block_scan(spark, sf):
     path = scratch(t(spark, sf, "orders").select(F.col("o_orderkey").cast("string")), "blocks")
-    return files.read_lines(spark, f"nfs://{path.removeprefix('file://')}" if path.startswith("file:/") else path).agg(F.count("*").alias("n"))
+    return files.read_lines(spark, re.sub("^file:/+", "nfs:///", path)).agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey::VARCHAR AS value FROM supplier")
