@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import vectors as V
-from keelson.operators import graph, messaging, ml
+from keelson.operators import cluster, graph, messaging, ml
 from keelson.operators.collection import Collection
 from keelson.plans import lineage
 from keelson.sources import files
@@ -177,3 +177,19 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         lineage.shared_dir(Far())
+
+
+def test_power_iteration_over_any_nations(spark, tmp_path):
+    # nations beyond 24, suppliers without one and of two nations; a matrix of all pairs of 30,000 suppliers would not be made in this test's time
+    from keelson.catalogue import ORACLES, QUERIES
+    from oracle import close, oracle_rows, spark_rows
+
+    few = [(i, None if i == 7 else i * i % 40) for i in range(60)] + [(5, 3), (5, 11)]
+    spark.createDataFrame(few, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    names, want = oracle_rows(ORACLES["g8_power_iteration"], str(tmp_path))
+    got_names, got = spark_rows(QUERIES["g8_power_iteration"](spark, str(tmp_path)))
+    assert got_names == names and close(got, want) and len(got) == 60
+    assert dict((r[0], r[1]) for r in got)[7] is None
+    many = spark.range(30_000).select(F.col("id").alias("i"), (F.col("id") % 25).alias("k"))
+    n, total = cluster.power_iteration_of_groups(many, lambda k, o: 1.0 / (1 + F.abs(k - o)), 3, 0.0).agg(F.count("*"), F.sum("v")).first()
+    assert n == 30_000 and abs(total - 1) < 1e-9
