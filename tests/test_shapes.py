@@ -193,3 +193,29 @@ def test_power_iteration_over_any_nations(spark, tmp_path):
     many = spark.range(30_000).select(F.col("id").alias("i"), (F.col("id") % 25).alias("k"))
     n, total = cluster.power_iteration_of_groups(many, lambda k, o: 1.0 / (1 + F.abs(k - o)), 3, 0.0).agg(F.count("*"), F.sum("v")).first()
     assert n == 30_000 and abs(total - 1) < 1e-9
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_triangles_over_blocks_and_tasks(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK_EDGES", block)  # lists go to many blocks, and blocks to many tasks
+    monkeypatch.setattr(graph, "TASK_PAIRS", 300)
+    monkeypatch.setattr(graph, "_CHUNK", 50)
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 60, (900, 2))] + [(-40, i) for i in range(-40, 60)] + [(1 << 40, 3), (1 << 40, 4), (3, 4)]
+    ids = sorted({v for p in pairs for v in p})
+    a = np.zeros((len(ids), len(ids)), dtype=int)
+    for p, q in pairs:
+        if p != q:
+            a[ids.index(p), ids.index(q)] = a[ids.index(q), ids.index(p)] = 1
+    got = graph.triangles(spark.createDataFrame(pairs, "src long, dst long"))
+    assert got.first()[0] == np.trace(a @ a @ a) // 6 > 0
+    assert graph.triangles(spark.createDataFrame([(1, 2), (3, 3)], "src long, dst long")).first()[0] == 0
+    assert graph.triangles(spark.createDataFrame([], "src long, dst long")).first()[0] == 0
+
+
+def test_triangles_make_no_row_of_a_wedge(spark):
+    # a hundred hubs share 2,000 neighbours: 9.9 M wedges, of which Spark must see none
+    edges = spark.range(100).crossJoin(spark.range(1000, 3000).toDF("n")).select(F.col("id").alias("src"), F.col("n").alias("dst"))
+    got = graph.triangles(edges.union(spark.range(99).select("id", F.col("id") + 1)))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first()[0] == 99 * 2000
