@@ -219,3 +219,20 @@ def test_triangles_make_no_row_of_a_wedge(spark):
     got = graph.triangles(edges.union(spark.range(99).select("id", F.col("id") + 1)))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.first()[0] == 99 * 2000
+
+
+@pytest.mark.parametrize("width", [3, 40])
+def test_affinity_sends_a_point_once_to_each_block(spark, monkeypatch, width):
+    monkeypatch.setattr(cluster, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, width)) * 0.3 + 1000.0  # far from zero, where a product of means would lose digits
+    x[7], x[9] = x[8], x[10] + 1e-7
+    x[:, 1] = 5.0
+    points = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>")
+    got = cluster.affinity(points)
+    rows = {(int(r["i"][1:]), int(r["j"][1:])): r["a"] for r in got.collect()}
+    z = np.where(x.var(axis=0) > 0, (x - x.mean(axis=0)) / np.sqrt(2 * np.maximum(x.var(axis=0), 1e-300)), 0.0)
+    want = np.exp(-((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(want, 0.0)
+    assert len(rows) == 200 * 200 and all(abs(a - want[k]) < 1e-9 for k, a in rows.items()) and rows[7, 8] == 1.0
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
