@@ -20,27 +20,30 @@ SPREAD = 100_000
 def _ranked(vertices: DataFrame, edges: DataFrame, iters: int, update: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """id, pr after iters - 1 rounds; `update` makes a new rank of the inbox's sum (null: no message), whether a listed vertex has out-edges, and the old rank.
 
-    A source of many edges has them spread over salts, SPREAD to each, and its state is sent once to each, so that no task holds a hub.
-    Edges are dealt once and kept until the result has been written; rounds move states and sums only. Vertices that are not listed are
-    there from their first message on, with rank 0 before it.
+    A source of more than SPREAD edges has them spread over salts, SPREAD to each, and its state is sent once to each, so that no task holds a
+    hub. Edges are dealt once, as a list for each source and salt, and kept until the result has been written; rounds join lists, not edges,
+    and move states and sums only. Each round's states are written, as the next reads them twice. Vertices that are not listed are there
+    from their first message on, with rank 0 before it.
     """
     degree = materialize(edges.groupBy("src").agg(F.count("*").alias("deg")).withColumn("salts", F.ceil(F.col("deg") / SPREAD).cast("int")), "degrees")
-    dealt = edges.select("src", "dst").join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst")
-    dealt = materialize(dealt, "edges").repartition("src", "salt").persist()
+    hubs = F.broadcast(degree.where("salts > 1").select("src", "salts"))  # a row for SPREAD edges at most
+    salted = edges.select("src", "dst").join(hubs, "src", "left").select("src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "dst")
+    counted = salted.repartition("src", "salt").groupBy("src", "salt", "dst").agg(F.count("*").alias("n"))  # edges that stand often: one entry
+    dealt = counted.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "n")).alias("to")).persist()
     listed = vertices.select("id").distinct().withColumn("listed", F.lit(True))
     start = listed.join(degree.withColumnRenamed("src", "id"), "id", "full").select("id", F.coalesce("listed", F.lit(False)).alias("listed"), "deg", "salts")
     start = start.select("id", F.when(F.col("listed"), F.lit(REST)).otherwise(F.lit(0.0)).alias("pr"), F.col("listed").alias("there"), "listed", "deg", "salts")
 
     def step(state: DataFrame, _: int) -> DataFrame:
         out = state.where("there and deg > 0").select(F.col("id").alias("src"), (F.col("pr") / F.col("deg")).alias("sent"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        inbox = dealt.join(out, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum("sent").alias("m"))
+        inbox = dealt.join(out, ["src", "salt"]).select(F.explode("to").alias("e"), "sent").groupBy(F.col("e.dst").alias("id")).agg(F.sum(F.col("sent") * F.col("e.n")).alias("m"))
         got = state.join(inbox, "id", "full")
         there = F.coalesce("there", F.lit(False)) | F.col("m").isNotNull()
         sends = F.coalesce("listed", F.lit(False)) & (F.coalesce("deg", F.lit(0)) > 0)
         pr = F.when(there, update(F.col("m"), sends, F.coalesce("pr", F.lit(0.0)))).otherwise(F.lit(0.0))
         return got.select("id", pr.alias("pr"), there.alias("there"), F.coalesce("listed", F.lit(False)).alias("listed"), "deg", "salts")
 
-    done = materialize(supersteps(start, step, max(0, iters - 1)).where("there").select("id", "pr"), "ranks")
+    done = materialize(supersteps(materialize(start, "ranks"), step, max(0, iters - 1), cut_every=1).where("there").select("id", "pr"), "ranks")
     dealt.unpersist()
     return done
 

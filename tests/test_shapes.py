@@ -1,5 +1,7 @@
 """Shapes that the provided tables don't have: long paths, hubs, sparse and wide rows, separators, repeated keys."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +238,50 @@ def test_affinity_sends_a_point_once_to_each_block(spark, monkeypatch, width):
     np.fill_diagonal(want, 0.0)
     assert len(rows) == 200 * 200 and all(abs(a - want[k]) < 1e-9 for k, a in rows.items()) and rows[7, 8] == 1.0
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def jobs_of(spark, run):
+    """What run() gives, and the number of Spark jobs that it took."""
+    tracker = spark.sparkContext.statusTracker()
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return run(), len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sparse_rounds_read_rows_once(spark):
+    rows = spark.createDataFrame([([(0, 1.0), (2, 2.0), (2, 1.0)], 1.0), ([], -1.0)], "x array<struct<fea:int,val:double>>, y double")
+    plain = rows.select("x", F.col("y").alias("g"))
+    (sums, more), jobs = jobs_of(spark, lambda: ml.by_feature(plain, 3, lambda v: F.col("g") * v, F.sum, F.col("g"), F.abs("g")))
+    assert sums == [1.0, 0.0, 3.0] and more == [0.0, 2.0]
+    one = jobs_of(spark, lambda: plain.groupBy("g").count().collect())[1]
+    assert jobs == one  # features and the other sums in the jobs of one aggregation
+
+
+def test_numbers_at_the_start_of_texts(spark):
+    texts = ["12", "-3.5e2", "1.", ".5", "1e", "1.2.3", "1-2", "7x", " 8", "+4", "1e5 "]
+    want = [12, -350, 1, 0.5, 1, 1.2, 1, 7, 8, 4, 1e5]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    from keelson.functions.strings import leading_double
+
+    assert [r[1] for r in sorted(rows.select("i", leading_double(F.col("v"))).collect())] == want
+    for bad in ("", "-", "e5", "NaN", "x1"):
+        with pytest.raises(Exception, match="no number"):
+            spark.createDataFrame([(bad,)], "v string").select(leading_double(F.col("v"))).collect()
+
+
+def test_ranks_keep_lists_and_states(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, f=graph.materialize: made.append(name) or f(df, name))
+    from keelson.plans import supersteps as loop
+
+    monkeypatch.setattr(loop, "materialize", lambda df, name, f=loop.materialize: made.append(name) or f(df, name))
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 3), (3, 1)], "src long, dst long")
+    got = {r["id"]: r["pr"] for r in graph.pagerank(edges.select(F.col("src").alias("id")), edges, 4).collect()}
+    pr = {1: 0.15, 2: 0.15, 3: 0.15}
+    for _ in range(3):
+        pr = {1: 0.85 * pr[3] + 0.15, 2: 0.85 * 2 / 3 * pr[1] + 0.15, 3: 0.85 * (pr[1] / 3 + pr[2]) + 0.15}
+    assert got.keys() == pr.keys() and all(abs(got[v] - pr[v]) < 1e-12 for v in pr)
+    assert made.count("superstep") == 2 and "edges" not in made  # states after all rounds but the last; edges are not written
