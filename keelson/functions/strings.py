@@ -35,13 +35,16 @@ def find_last(text: Column, char: str) -> Column:
 
 def leading_int(text: Column) -> Column:
     """The integer that a text starts with, as C's string conversions read it; an error where there is none."""
+    whole = F.when(F.translate(text, "0123456789+-", "") == "", text.try_cast("long"))
     found = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
-    return F.when(found == "", F.raise_error(F.concat(F.lit("no number: "), text))).otherwise(found).cast("long")
+    return F.coalesce(whole, F.when(found == "", F.raise_error(F.concat(F.lit("no number: "), text))).otherwise(found).cast("long"))
 
 
 def leading_double(text: Column) -> Column:
+    """The number that a text starts with; an error where there is none. Texts that are a plain number as a whole skip the pattern."""
+    whole = F.when(F.translate(text, "0123456789.+-eE", "") == "", text.try_cast("double"))
     found = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    return F.when(found == "", F.raise_error(F.concat(F.lit("no number: "), text))).otherwise(found).cast("double")
+    return F.coalesce(whole, F.when(found == "", F.raise_error(F.concat(F.lit("no number: "), text))).otherwise(found).cast("double"))
 
 
 def json_field(text: Column, name: str) -> Column:

@@ -52,16 +52,19 @@ def feature_count(rows: DataFrame) -> int:
 
 
 def by_feature(rows: DataFrame, n: int, value: Callable[[Column], Column], fold: Callable[[Column], Column], *more: Column) -> tuple[list[float], list[float]]:
-    """fold of value(x_i) for each of n features, and the aggregates `more` over rows. The driver gets n numbers, the size of the model."""
+    """fold of value(x_i) for each of n features, and of the columns `more`, in one pass. The driver gets a number for each, the size of the model."""
     if not is_sparse(rows) and n <= UNROLLED:
-        r = rows.agg(*(fold(value(F.get("x", F.lit(i)))).alias(f"s{i}") for i in range(n)), *(m.alias(f"m{k}") for k, m in enumerate(more))).first()
+        r = rows.agg(*(fold(value(F.get("x", F.lit(i)))).alias(f"s{i}") for i in range(n)), *(fold(m).alias(f"m{k}") for k, m in enumerate(more))).first()
         return [r[f"s{i}"] or 0.0 for i in range(n)], [r[f"m{k}"] or 0.0 for k in range(len(more))]
-    each = rows.select(F.explode("x").alias("e"), *(c for c in rows.columns if c != "x")).select(F.col("e.fea").alias("pos"), F.col("e.val").alias("v"), *(c for c in rows.columns if c != "x")) if is_sparse(rows) else rows.select(F.posexplode("x").alias("pos", "v"), *(c for c in rows.columns if c != "x"))
-    out = [0.0] * n
-    for r in each.groupBy("pos").agg(fold(value(F.col("v"))).alias("s")).collect():
+    # the columns follow the features as if they were further ones
+    entries = F.col("x") if is_sparse(rows) else F.transform("x", lambda v, i: F.struct(i.alias("fea"), v.alias("val")))
+    last = F.array(*(F.struct(F.lit(n + k).alias("fea"), m.cast("double").alias("val")) for k, m in enumerate(more)))
+    each = rows.select(F.explode(F.concat(F.coalesce(entries, F.slice(last, 1, 0)), last) if more else entries).alias("e"), *(c for c in rows.columns if c != "x"))
+    each = each.select(F.col("e.fea").alias("pos"), F.when(F.col("e.fea") < n, value(F.col("e.val"))).otherwise(F.col("e.val")).alias("v"))
+    out = [0.0] * (n + len(more))
+    for r in each.groupBy("pos").agg(fold(F.col("v")).alias("s")).collect():
         out[r["pos"]] = r["s"] or 0.0
-    last = rows.agg(*(m.alias(f"m{k}") for k, m in enumerate(more))).first() if more else ()
-    return out, [x or 0.0 for x in last]
+    return out[:n], out[n:]
 
 
 class MaxAbsScaler:
@@ -75,7 +78,7 @@ class MaxAbsScaler:
         n = None
         for rows in sets:
             n = feature_count(rows) if n is None else n
-            now, (y,) = by_feature(rows, n, F.abs, F.max, F.max(F.abs("y")))
+            now, (y,) = by_feature(rows, n, F.abs, F.max, F.abs("y"))
             self.x = [max(a, b) for a, b in zip(self.x, now, strict=True)] if self.x else now
             self.y = max(self.y, y)
         return self
@@ -139,7 +142,7 @@ class Regression:
         return n
 
     def _round(self, rows: DataFrame, n: int) -> None:
-        sums, bias = by_feature(rows.select("x", self.gradient(self.w).alias("g")), len(self.w) - 1, lambda v: F.col("g") * v, F.sum, F.sum("g"))
+        sums, bias = by_feature(rows.select("x", self.gradient(self.w).alias("g")), len(self.w) - 1, lambda v: F.col("g") * v, F.sum, F.col("g"))
         self.w = [w + self.rate / n * s for w, s in zip(self.w, [*sums, *bias], strict=True)]
 
     def train(self, rows: DataFrame, rounds: int) -> Regression:
@@ -212,7 +215,7 @@ class SVM:
             w, norm = [v * shrink for v in self.w], 1 / self.lam if shrink < 1 else norm
             margin = F.col("y") * linear([*w, self.b * shrink], self.sparse)
             near = rows.select("x", "y", margin.alias("m"), (margin < 1).cast("double").alias("in"))
-            sums, (bias, hinge) = by_feature(near, len(w), lambda v: F.col("in") * F.col("y") * v, F.sum, F.sum(F.col("in") * F.col("y")), F.sum(F.greatest(F.lit(0.0), 1 - F.col("m"))))
+            sums, (bias, hinge) = by_feature(near, len(w), lambda v: F.col("in") * F.col("y") * v, F.sum, F.col("in") * F.col("y"), F.greatest(F.lit(0.0), 1 - F.col("m")))
             eta = 1 / (i + 1)
             self.losses.append(self.lam / 2 * norm + hinge / n)
             self.w = [v * (1 - eta) + eta / (n * self.lam) * g for v, g in zip(w, sums, strict=True)]

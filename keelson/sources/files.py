@@ -74,7 +74,7 @@ def read_binary_files(spark: SparkSession, url: str, pattern: str = "") -> DataF
 def parse_libsvm(lines: DataFrame, column: str = "value") -> DataFrame:
     """label idx:val ... with idx from 1, to label, sparse features from 0."""
     words = tokens(F.col(column), " \t")
-    entry = lambda w: F.struct((leading_int(F.split(w, ":")[0]) - 1).cast("int").alias("fea"), leading_double(F.split(w, ":")[1]).alias("val"))
+    entry = lambda w: F.struct((leading_int(F.substring_index(w, ":", 1)) - 1).cast("int").alias("fea"), leading_double(F.split_part(w, F.lit(":"), F.lit(2))).alias("val"))
     rows = lines.select(words.alias("w")).where(F.size("w") > 0)
     return rows.select(leading_double(F.col("w")[0]).alias("label"), F.transform(F.slice("w", 2, F.size("w")), entry).alias("features"))
 
